@@ -9,7 +9,8 @@ for each occurrence, so no shard is hot; between tasks go sorted hashes as packe
 Score of a word: log(c3 / c2) if the trigram was seen at least ``min_count`` times, else log(0.4 * c2 / c1) for the
 bigram, else log(0.16 * c1 / N); with one word of context one step fewer, with none log(c1 / N) outright. An n-gram seen
 once in the corpus is only the document's own, which is why the cut-off is 2. Words are runs outside
-``[\\x20\\x09-\\x0D]``, case kept. Hashes have 56 bits, so of 10**12 distinct n-grams about one in 10**5 shares one.
+``[\\x20\\x09-\\x0D]``, case kept. Hashes have 20 bits more than it takes to number all n-grams of the corpus, up to 64, so
+that at any size about one n-gram in a million shares its hash with another; fewer bits pack smaller.
 
 Nulls: a null or wordless text has 0 words and a null score. A null id is dealt like an id of its own. Repeated rows
 count as often as they occur and come out repeated. Other columns are ignored. An empty table gives an empty result.
@@ -26,18 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import Scratch, id_in, id_out
+from .scratch import id_in, id_out
 
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
-HASH_BITS = 56
+SPARE_BITS = 20
 BLOCK_BYTES = 16 << 20
 SHARD_GRAMS = 3_000_000
-_DROP = np.uint64(64 - HASH_BITS)
 
 
-def _block_grams(texts: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _block_grams(texts: pa.ChunkedArray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each order its hashes at every position of the block's documents (0 where none begins), and the documents."""
     raw, offsets = K.text_bytes(texts)
     hs, ats = [], [0]
@@ -48,27 +48,27 @@ def _block_grams(texts: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.n
     h, at = np.concatenate(hs) if hs else np.zeros(0, np.uint64), np.array(ats)
     for n in range(1, ORDER + 1):
         g = np.zeros(len(h), dtype=np.uint64)
-        g[: max(0, len(h) - n + 1)] = (K.ngrams(h, n) >> _DROP) | np.uint64(1)
+        g[: max(0, len(h) - n + 1)] = np.maximum(K.ngrams(h, n) >> np.uint64(64 - bits), np.uint64(1))
         for k in range(1, n):
             sizes = np.diff(at)
             g[at[1:][sizes >= k] - k] = 0
         yield n, g, at
 
 
-def _cuts(shards: int) -> np.ndarray:
+def _cuts(shards: int, bits: int) -> np.ndarray:
     """Upper ends of all shards but the last, in hash space."""
-    return np.array([(k << HASH_BITS) // shards for k in range(1, shards)], dtype=np.uint64)
+    return np.array([(k << bits) // shards for k in range(1, shards)], dtype=np.uint64)
 
 
 _ASK = "shard int, block long, ord int, grams binary, counts binary"
 
 
-def _ask(shards: int):
-    cuts = _cuts(shards)
+def _ask(shards: int, bits: int):
+    cuts = _cuts(shards, bits)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         cols: list[list] = [[], [], [], [], []]
-        for n, g, _ in _block_grams(table.column("text")):
+        for n, g, _ in _block_grams(table.column("text"), bits):
             grams, counts = np.unique(g[g > 0], return_counts=True)
             edge = np.concatenate([[0], np.searchsorted(grams, cuts), [len(grams)]])
             for s in range(shards):
@@ -103,11 +103,11 @@ def _tell(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["block", "shard", "ord", "counts"])
 
 
-def _score(total: int, min_count: int):
+def _score(total: int, min_count: int, bits: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         told: dict[tuple[int, int], bytes] = {(o, s): c for o, s, c in zip(answers.column("ord").to_pylist(), answers.column("shard").to_pylist(), answers.column("counts").to_pylist(), strict=True)}
         count, at = [], np.zeros(1, np.int64)
-        for n, g, at in _block_grams(docs.column("text")):
+        for n, g, at in _block_grams(docs.column("text"), bits):
             grams, place = np.unique(g, return_inverse=True)
             counts = [K.unpack(told[k], np.uint64) for k in sorted(told) if k[0] == n]
             counts = np.concatenate(counts).astype(np.float64) if counts else np.zeros(0)
@@ -134,9 +134,7 @@ def _score(total: int, min_count: int):
             i = np.flatnonzero(~start & ~second & (tri >= min_count))
             score[i] = np.log(tri[i] / c2[i - 2])
         sizes = np.diff(at)
-        run_ = np.concatenate([[0.0], np.cumsum(score)])
         sums = [math.fsum(score[a:b]) if b > a else None for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        del run_
         return pa.table([docs.column("doc").combine_chunks(), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], names=["doc", "n_words", "log_score"])
 
     return run
@@ -146,14 +144,14 @@ def stupid_backoff(docs: DataFrame, min_count: int = MIN_COUNT, block_bytes: int
     """``doc_id, n_words, log_score, mean_log_score`` for each row; counts are of all rows. Logarithms are natural."""
     from .mixing import n_words
 
-    scratch = Scratch(docs.sparkSession, "backoff")
     rows = docs.select(id_in().alias("doc"), F.col("text").cast("string").alias("text"))
     size, total = rows.agg(F.sum(F.octet_length("text")), F.sum(n_words())).first()
     size, total = int(size or 0), int(total or 0)
     n_blocks = max(1, math.ceil(size / block_bytes))
     n_shards = max(1, math.ceil(total * ORDER / shard_grams))
+    bits = min(64, math.ceil(math.log2(max(2, total * ORDER))) + SPARE_BITS)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(n_blocks).cast("long")))
-    asks = dealt.groupBy("block").applyInArrow(_ask(n_shards), _ASK)
-    tells = scratch.save(asks.groupBy("shard").applyInArrow(_tell, "block long, shard int, ord int, counts binary"))
-    scored = dealt.groupBy("block").cogroup(tells.groupBy("block")).applyInArrow(_score(total, min_count), "doc long, n_words long, log_score double")
+    asks = dealt.groupBy("block").applyInArrow(_ask(n_shards, bits), _ASK)
+    tells = asks.groupBy("shard").applyInArrow(_tell, "block long, shard int, ord int, counts binary")
+    scored = dealt.groupBy("block").cogroup(tells.groupBy("block")).applyInArrow(_score(total, min_count, bits), "doc long, n_words long, log_score double")
     return scored.select(id_out("doc").alias("doc_id"), "n_words", "log_score", F.try_divide("log_score", "n_words").alias("mean_log_score"))
