@@ -1,4 +1,8 @@
 """The registered queries of the evaluation operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from colloquy.plans import speech
+
+QUERIES: dict = {**speech.Q}
+ORACLE: dict[str, str] = {**speech.SQL}
