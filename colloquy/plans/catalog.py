@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colloquy.plans import speech
+from colloquy.plans import language, speech
 
-QUERIES: dict = {**speech.Q}
-ORACLE: dict[str, str] = {**speech.SQL}
+QUERIES: dict = {**speech.Q, **language.Q}
+ORACLE: dict[str, str] = {**speech.SQL, **language.SQL}

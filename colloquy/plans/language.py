@@ -1,0 +1,438 @@
+"""Queries over vectors, texts, assertions, latencies and logs, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from colloquy.functions import scalars as S
+from colloquy.operators import evaluation as E
+from colloquy.operators import retrieval as R
+from colloquy.plans import fixtures as X
+from colloquy.streaming import commits
+
+Q: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- retrieval and identity ------------------------------------------------------------------------------------------
+N_QUERIES = 20
+
+
+def _vectors(spark, sf):
+    return X.table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("entity"), F.col("embedding").alias("vec"))
+
+
+def _scored(spark, sf):
+    v = _vectors(spark, sf)
+    q = v.where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("entity").alias("truth"), F.col("vec").alias("query_vec"))
+    return R.scores(q, v)
+
+
+def _pooled(spark, sf):
+    return R.max_pool(_scored(spark, sf), "query_id", "truth", "entity")
+
+
+_SC = f"""WITH sc AS (SELECT q.vec_id AS query_id, q.label AS truth, v.vec_id, v.label AS entity, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id < {N_QUERIES}),
+mx AS (SELECT query_id, truth, entity, max(score) AS score FROM sc GROUP BY ALL),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity) AS INTEGER) AS rank FROM mx),
+gt AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM mx),
+tr AS (SELECT query_id, truth, rank FROM rk WHERE entity = truth)"""
+
+
+@query(f"{_SC}, kn AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM sc) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM kn WHERE rank <= 5")
+def knn_topk(spark, sf):
+    return R.top_k(_scored(spark, sf), 5, item="vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"{_SC} SELECT query_id, truth, entity, round(score, 6) AS score, rank FROM rk")
+def maxpool_rank(spark, sf):
+    return R.ranked(_pooled(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query(f"{_SC} SELECT count(*) AS n_queries, avg(CAST(rank <= 1 AS DOUBLE)) AS recall_at_1, avg(CAST(rank <= 3 AS DOUBLE)) AS recall_at_3, avg(CAST(rank <= 5 AS DOUBLE)) AS recall_at_5 FROM tr")
+def recall_at_k(spark, sf):
+    return R.rank_metrics(R.ranked(_pooled(spark, sf)).where("entity = truth")).drop("mrr")
+
+
+@query(f"{_SC} SELECT truth, count(*) AS n_queries, round(avg(1.0 / rank), 9) AS mrr FROM tr GROUP BY truth")
+def mrr(spark, sf):
+    return R.rank_metrics(R.ranked(_pooled(spark, sf)).where("entity = truth"), "truth").select("truth", "n_queries", F.round("mrr", 9).alias("mrr"))
+
+
+@query(f"{_SC} SELECT count(*) AS n, count(*) FILTER (top >= 0.35) AS n_pass, count(*) FILTER (top < 0.35) AS n_reject, count(*) FILTER (top >= 0.35 AND score = top AND entity = truth) AS n_right FROM gt WHERE score = top")
+def relevance_gate(spark, sf):
+    best = R.top_k(R.gate(_pooled(spark, sf)), 1)
+    return best.agg(F.count("*").alias("n"), F.count_if("passes").alias("n_pass"), F.count_if(~F.col("passes")).alias("n_reject"), F.count_if(F.col("passes") & (F.col("entity") == F.col("truth"))).alias("n_right"))
+
+
+@query(f"{_SC} SELECT query_id, entity FROM gt WHERE top >= 0.35 AND score >= greatest(0.35, 0.8 * top)")
+def entry_threshold(spark, sf):
+    return R.gate(_pooled(spark, sf)).where("enters").select("query_id", "entity")
+
+
+@query(f"{_SC}, hy AS (SELECT query_id, entity, 0.5 * score + 0.3 * (entity % 4 / 4.0) + 0.1 * (entity / 10.0) + 0.1 * (entity % 3 / 3.0) AS hybrid FROM mx) SELECT query_id, entity, round(hybrid, 6) AS hybrid FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, entity) AS k FROM hy) WHERE k <= 3")
+def hybrid_rank(spark, sf):
+    parts = _pooled(spark, sf).withColumns({"text_score": F.col("entity") % 4 / 4.0, "recency": F.col("entity") / 10.0, "length": F.col("entity") % 3 / 3.0})
+    top = R.top_k(R.hybrid(parts).withColumn("score", F.col("hybrid")), 3)
+    return top.select("query_id", "entity", F.round("hybrid", 6).alias("hybrid"))
+
+
+@query(f"{_SC}, st AS (SELECT 'all' AS strategy, query_id, truth, entity, score FROM sc UNION ALL SELECT 'few', query_id, truth, entity, score FROM sc WHERE vec_id % 5 = 0), sm AS (SELECT strategy, query_id, truth, entity, max(score) AS score FROM st GROUP BY ALL), sr AS (SELECT *, row_number() OVER (PARTITION BY strategy, query_id ORDER BY score DESC, entity) AS rank FROM sm) SELECT strategy, count(*) AS n_queries, avg(CAST(rank <= 3 AS DOUBLE)) AS recall_at_3 FROM sr WHERE entity = truth GROUP BY strategy")
+def strategy_compare(spark, sf):
+    s = _scored(spark, sf)
+    both = s.withColumn("strategy", F.lit("all")).unionByName(s.where("vec_id % 5 = 0").withColumn("strategy", F.lit("few")))
+    pooled = R.max_pool(both, "strategy", "query_id", "truth", "entity").withColumn("q", F.struct("strategy", "query_id"))
+    return R.rank_metrics(R.ranked(pooled, "q").where("entity = truth"), "strategy").select("strategy", "n_queries", "recall_at_3")
+
+
+_ID = """WITH ps AS (SELECT q.vec_id AS query_id, q.label AS truth, v.label AS entity, max(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))) AS score FROM embeddings q JOIN embeddings v ON v.vec_id % 2 = 0 WHERE q.vec_id % 50 = 1 GROUP BY ALL),
+pr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity) AS k FROM ps),
+tw AS (SELECT query_id, truth, max(entity) FILTER (k = 1) AS person, max(score) FILTER (k = 1) AS top1, max(score) FILTER (k = 2) AS top2 FROM pr WHERE k <= 2 GROUP BY ALL),
+oc AS (SELECT query_id, truth, person, CASE WHEN NOT (top1 >= 0.34 AND coalesce(top1 - top2 >= 0.02, true)) THEN 'refused' WHEN person = truth THEN 'correct' ELSE 'wrong' END AS outcome,
+         CASE WHEN top1 >= 0.34 AND coalesce(top1 - top2 >= 0.02, true) THEN 'named' WHEN top1 >= 0.28 THEN 'suggested' ELSE 'none' END AS tier FROM tw)"""
+
+
+def _trials(spark, sf):
+    v = _vectors(spark, sf)
+    probes = v.where("vec_id % 50 = 1").select(F.col("vec_id").alias("query_id"), F.col("entity").alias("truth"), F.col("vec").alias("query_vec"))
+    return R.identify(R.max_pool(R.scores(probes, v.where("vec_id % 2 = 0")), "query_id", "truth", "entity"))
+
+
+@query(f"{_ID} SELECT query_id, truth, person, outcome FROM oc")
+def identify_open_set(spark, sf):
+    return _trials(spark, sf).select("query_id", "truth", "person", "outcome")
+
+
+@query(f"{_ID} SELECT tier, count(*) AS n FROM oc GROUP BY tier")
+def ambiguity_refusal(spark, sf):
+    return _trials(spark, sf).groupBy("tier").agg(F.count("*").alias("n"))
+
+
+_Z = 1.959963984540054
+
+
+@query(f"""{_ID}, n AS (SELECT count(*) AS n, count(*) FILTER (outcome = 'correct') AS correct, count(*) FILTER (outcome = 'wrong') AS wrong, count(*) FILTER (outcome = 'refused') AS refused FROM oc)
+SELECT n, correct, wrong, refused, round((wrong / n + {_Z * _Z} / (2 * n)) / (1 + {_Z * _Z} / n) - {_Z} * sqrt(wrong / n * (1 - wrong / n) / n + {_Z * _Z} / (4 * n * n)) / (1 + {_Z * _Z} / n), 9) AS wrong_low,
+  round((wrong / n + {_Z * _Z} / (2 * n)) / (1 + {_Z * _Z} / n) + {_Z} * sqrt(wrong / n * (1 - wrong / n) / n + {_Z * _Z} / (4 * n * n)) / (1 + {_Z * _Z} / n), 9) AS wrong_high FROM n""")
+def outcome_rates_wilson(spark, sf):
+    return R.outcome_rates(_trials(spark, sf)).withColumns({"wrong_low": F.round("wrong_low", 9), "wrong_high": F.round("wrong_high", 9)})
+
+
+@query("SELECT label AS speaker, vec_id AS session, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) = 1 THEN 'probe' ELSE 'enrol' END AS role FROM embeddings")
+def holdout_split(spark, sf):
+    return R.holdout(_vectors(spark, sf).select(F.col("entity").alias("speaker"), F.col("vec_id").alias("session")))
+
+
+@query("WITH p AS (SELECT DISTINCT vec_id % 25 AS room, label AS speaker FROM embeddings) SELECT x.speaker AS a, y.speaker AS b, count(*) AS rooms FROM p x JOIN p y ON x.room = y.room AND x.speaker <> y.speaker GROUP BY ALL")
+def impostor_pairs(spark, sf):
+    return R.impostors(_vectors(spark, sf).select((F.col("vec_id") % 25).alias("room"), F.col("entity").alias("speaker")))
+
+
+@query("""WITH p AS (SELECT * FROM embeddings WHERE vec_id < 40), n AS (SELECT a.vec_id AS query_id, a.label AS person, max(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS nearest FROM p a JOIN p b ON a.label <> b.label GROUP BY ALL)
+SELECT query_id, person, round(0.34 + 0.5 * greatest(0, nearest - 0.34), 6) AS bar FROM n""")
+def raised_bars(spark, sf):
+    return R.raised_bars(_vectors(spark, sf).where("vec_id < 40")).select("query_id", "person", F.round("bar", 6).alias("bar"))
+
+
+@query("WITH x AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY ALL) SELECT label AS entity, CAST(count(*) AS BIGINT) AS dims, round(sqrt(sum(x * x)), 6) AS norm FROM m GROUP BY label")
+def mean_profiles(spark, sf):
+    p = R.mean_profile(_vectors(spark, sf))
+    return p.select("entity", F.size("vec").cast("long").alias("dims"), F.round(F.sqrt(S.dot("vec", "vec")), 6).alias("norm"))
+
+
+@query("SELECT avg(n) AS mean_vectors FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY label)")
+def vectors_per_entity(spark, sf):
+    return _vectors(spark, sf).groupBy("entity").agg(F.count("*").alias("n")).agg(F.avg("n").alias("mean_vectors"))
+
+
+@query("SELECT event_id FROM events WHERE ts >= DATE '2024-07-15' - INTERVAL 6 MONTH")
+def candidate_window(spark, sf):
+    return R.within_months(X.table(spark, sf, "events"), "ts", "2024-07-15").select("event_id")
+
+
+# -- tokens ----------------------------------------------------------------------------------------------------------
+def _aligned(spark, sf):
+    return E.align(X.tokens(spark, sf))
+
+
+@query()
+def wer_ops(spark, sf):
+    return E.word_errors(_aligned(spark, sf), "pair_id")
+
+
+@query("""WITH t AS (SELECT concat(conv_id, '-', turn) AS pair_id, list_transform(string_split(lower(coalesce(text, '')), ' '), lambda x: x) AS t FROM conversations),
+u AS (SELECT pair_id, t, generate_subscripts(t, 1) - 1 AS i, unnest(t) AS x FROM t), v AS (SELECT DISTINCT pair_id, x FROM (SELECT pair_id, x FROM u UNION ALL SELECT pair_id, substr(x, 1, 3) FROM u)),
+k AS (SELECT pair_id, x, dense_rank() OVER (PARTITION BY pair_id ORDER BY x) AS r FROM v), ok AS (SELECT pair_id FROM k GROUP BY pair_id HAVING max(r) <= 126),
+e AS (SELECT u.pair_id, u.i, k.r, k3.r AS r3 FROM u JOIN k ON k.pair_id = u.pair_id AND k.x = u.x JOIN k k3 ON k3.pair_id = u.pair_id AND k3.x = substr(u.x, 1, 3)),
+s AS (SELECT pair_id, string_agg(chr(CAST(r AS INTEGER)), '' ORDER BY i) AS a, coalesce(string_agg(CASE WHEN i % 11 = 10 THEN '' WHEN i % 13 = 12 THEN chr(CAST(r AS INTEGER)) || chr(CAST(r AS INTEGER)) WHEN i % 17 = 16 THEN chr(CAST(r3 AS INTEGER)) ELSE chr(CAST(r AS INTEGER)) END, '' ORDER BY i), '') AS b FROM e WHERE pair_id IN (SELECT pair_id FROM ok) GROUP BY pair_id)
+SELECT pair_id, CAST(length(a) AS BIGINT) AS n_ref, CAST(levenshtein(a, b) AS BIGINT) AS distance FROM s""")
+def wer_distance(spark, sf):
+    tokens = X.tokens(spark, sf)
+    words = F.array_distinct(F.concat("ref_tokens", F.transform("ref_tokens", lambda x: F.substring(x, 1, 3))))
+    small = tokens.where(F.size(words) <= 126)
+    out = E.word_errors(E.align(small), "pair_id")
+    return out.select("pair_id", "n_ref", (F.col("deletions") + F.col("insertions") + F.col("substitutions")).alias("distance"))
+
+
+@query()
+def deletion_run_bands(spark, sf):
+    r = E.deletion_runs(_aligned(spark, sf))
+    return r.groupBy(E.run_band(F.col("length")).alias("band")).agg(F.count("*").alias("n"), F.max("length").alias("longest"))
+
+
+@query()
+def punct_precision_recall(spark, sf):
+    return E.mark_scores(_aligned(spark, sf), r"[.,?!]$")
+
+
+@query()
+def capitalisation_pr(spark, sf):
+    t = X.table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("pair_id"), F.split("text", " ").alias("ref_tokens"))
+    hyp = t.withColumn("hyp_tokens", F.transform("ref_tokens", lambda x, i: F.when(i % 5 == 4, F.lower(x)).otherwise(x)))
+    return E.mark_scores(E.align(hyp), r"^[A-Z]")
+
+
+# -- texts -----------------------------------------------------------------------------------------------------------
+@query(r"SELECT doc_id, array_to_string(list_distinct_ordered, '|') AS numbers FROM (SELECT doc_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS list_distinct_ordered FROM (SELECT doc_id, regexp_extract_all(text, '[$€£]?\d+(?:[.,]\d+)*(?:[kKmM%])?') AS a FROM documents)) WHERE len(list_distinct_ordered) > 0")
+def number_extraction(spark, sf):
+    d = X.table(spark, sf, "documents").select("doc_id", S.numbers("text").alias("n"))
+    return d.where(F.size("n") > 0).select("doc_id", F.array_join("n", "|").alias("numbers"))
+
+
+@query(r"SELECT d.doc_id, len(list_filter(regexp_extract_all(d.text, '[$€£]?\d+(?:[.,]\d+)*(?:[kKmM%])?'), lambda x: NOT list_contains(regexp_extract_all(substr(d.text, 1, length(d.text) // 2), '[$€£]?\d+(?:[.,]\d+)*(?:[kKmM%])?'), x))) = 0 AS preserved FROM documents d")
+def numbers_preserved(spark, sf):
+    d = X.table(spark, sf, "documents")
+    half = F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    return d.select("doc_id", (F.size(F.array_except(S.numbers("text"), S.numbers(half))) == 0).alias("preserved"))
+
+
+@query("SELECT x AS token, v AS value FROM (VALUES ('$40,000', 40000.0), ('$40k', 40000.0), ('1.5M', 1500000.0), ('12%', 12.0)) t(x, v)")
+def number_values(spark, sf):
+    t = spark.createDataFrame([("$40,000",), ("$40k",), ("1.5M",), ("12%",)], "token string")
+    return t.select("token", S.number_value("token").alias("value"))
+
+
+@query(r"""SELECT conv_id, turn, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), '|') AS spans FROM (SELECT conv_id, turn, list_concat(list_concat(regexp_extract_all(t, '"([^"]+)"', 1), regexp_extract_all(t, '\(([^()]+)\)', 1)), regexp_extract_all(t, '`([^`]+)`', 1)) AS a FROM (SELECT conv_id, turn, concat('"', role, '" (', turn, ') `', conv_id, '` ', text) AS t FROM conversations))""")
+def verbatim_spans(spark, sf):
+    c = X.table(spark, sf, "conversations")
+    t = F.concat(F.lit('"'), "role", F.lit('" ('), F.col("turn").cast("string"), F.lit(") `"), F.col("conv_id").cast("string"), F.lit("` "), "text")
+    return c.select("conv_id", "turn", F.array_join(S.quoted(t), "|").alias("spans"))
+
+
+@query("SELECT conv_id, turn, contains(text, 'ing') AS present, NOT contains(text, 'the ') AS absent, strpos(lower(text), 'and') > 0 AND strpos(lower(text), 'and') < strpos(lower(text), 'of') AS ordered FROM conversations")
+def phrase_checks(spark, sf):
+    c = X.table(spark, sf, "conversations")
+    a, b = F.instr(F.lower("text"), "and"), F.instr(F.lower("text"), "of")
+    return c.select("conv_id", "turn", F.col("text").contains("ing").alias("present"), (~F.col("text").contains("the ")).alias("absent"), ((a > 0) & (a < b)).alias("ordered"))
+
+
+@query("WITH p(phrase) AS (VALUES ('anon'), ('then')) SELECT c.conv_id, c.turn, p.phrase FROM conversations c JOIN p ON contains(lower(c.text), p.phrase)")
+def leak_check(spark, sf):
+    phrases = ["anon", "then"]
+    c = X.table(spark, sf, "conversations")
+    found = F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.lower("text").contains(p))
+    return c.select("conv_id", "turn", F.explode(found).alias("phrase"))
+
+
+@query(r"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: length(x) >= 30)) AS BIGINT) AS n_paragraphs FROM documents")
+def paragraph_split(spark, sf):
+    return X.table(spark, sf, "documents").select("doc_id", F.size(S.paragraphs("text", "\n")).cast("long").alias("n_paragraphs"))
+
+
+@query(r"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, 'The '))) AS BIGINT) AS n_bullets FROM documents")
+def bullet_count(spark, sf):
+    return X.table(spark, sf, "documents").select("doc_id", F.regexp_count("text", F.lit(r"(?m)^The ")).cast("long").alias("n_bullets"))
+
+
+@query(r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N} ]', ' ', 'g'), ' +', ' ', 'g')) AS plain FROM conversations")
+def asr_normalise(spark, sf):
+    return X.table(spark, sf, "conversations").select("conv_id", "turn", S.plain("text").alias("plain"))
+
+
+@query("SELECT x AS raw, y AS body FROM (VALUES (concat('```json', chr(10), '{\"a\":1}', chr(10), '```'), '{\"a\":1}'), ('<think>no</think>{\"a\":2}', '{\"a\":2}'), ('{\"a\":3}', '{\"a\":3}')) t(x, y)")
+def response_cleaning(spark, sf):
+    t = spark.createDataFrame([('```json\n{"a":1}\n```',), ('<think>no</think>{"a":2}',), ('{"a":3}',)], "raw string")
+    return t.select("raw", S.response_text("raw").alias("body"))
+
+
+@query("WITH m AS (SELECT conv_id, array_to_string(list_slice(list(concat(role, '→', turn) ORDER BY turn), 1, 5), ', ') AS preview FROM conversations GROUP BY conv_id) SELECT * FROM m")
+def mapping_preview(spark, sf):
+    m = X.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("from"), F.col("turn").cast("string").alias("to")))).alias("m"))
+    return m.select("conv_id", S.mapping_preview("m").alias("preview"))
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M') AS clock, CAST(CAST(ts AS DATE) + 7 AS VARCHAR) AS due, 'next week' AS phrase FROM events WHERE event_id % 100 = 0")
+def local_clock(spark, sf):
+    e = X.table(spark, sf, "events").where("event_id % 100 = 0").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.select("event_id", S.local_clock("ts", F.lit("+02:00")).alias("clock"), F.date_add(F.col("ts").cast("date"), 7).cast("string").alias("due"), F.lit("next week").alias("phrase"))
+
+
+@query("SELECT a.doc_id, a.text = b.text AS identical FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")
+def noop_check(spark, sf):
+    d = X.table(spark, sf, "documents").select("doc_id", "text")
+    return d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next")), "doc_id").select("doc_id", (F.col("text") == F.col("next")).alias("identical"))
+
+
+# -- assertions, latencies, merges -----------------------------------------------------------------------------------
+_F = f"WITH {X.FACTS}, sc AS (SELECT scenario, run, sum(CASE severity WHEN 'critical' THEN 3 WHEN 'major' THEN 2 ELSE 1 END * CAST(passed AS INTEGER)) / sum(CASE severity WHEN 'critical' THEN 3 WHEN 'major' THEN 2 ELSE 1 END) AS score, bool_and(passed) AS full_pass, count(*) AS n FROM facts GROUP BY ALL)"
+
+
+@query(f"{_F} SELECT * FROM sc")
+def composite_score(spark, sf):
+    return E.composite(X.facts(spark, sf))
+
+
+@query(f"{_F} SELECT round(avg(s), 9) AS composite FROM (SELECT scenario, avg(score) AS s FROM sc GROUP BY scenario)")
+def suite_score(spark, sf):
+    return E.composite(X.facts(spark, sf)).groupBy("scenario").agg(F.avg("score").alias("s")).agg(F.round(F.avg("s"), 9).alias("composite"))
+
+
+@query(f"{_F} SELECT category, temperature, count(*) AS n, count(*) FILTER (passed) AS n_passed, count(*) FILTER (passed) / count(*) AS rate FROM facts GROUP BY ALL")
+def full_pass_rate(spark, sf):
+    g = X.facts(spark, sf).groupBy("category", "temperature").agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"))
+    return g.withColumn("rate", S.ratio("n_passed", "n"))
+
+
+@query(f"{_F} SELECT scenario, bool_and(full_pass) AS held, count(*) AS runs FROM sc GROUP BY scenario")
+def held_across_runs(spark, sf):
+    return E.composite(X.facts(spark, sf)).groupBy("scenario").agg(F.bool_and("full_pass").alias("held"), F.count("*").alias("runs"))
+
+
+@query(f"""WITH {X.FACTS}, k AS (SELECT scenario, run, count(*) AS bullets, list_sort(list_distinct(list(category))) AS kw FROM facts GROUP BY ALL),
+p AS (SELECT a.scenario, avg(len(list_intersect(a.kw, b.kw)) / len(list_distinct(list_concat(a.kw, b.kw)))) AS j FROM k a JOIN k b ON a.scenario = b.scenario AND a.run < b.run GROUP BY a.scenario)
+SELECT k.scenario, round(var_pop(bullets), 6) AS bullet_variance, round(any_value(p.j), 6) AS keyword_jaccard FROM k LEFT JOIN p USING (scenario) GROUP BY k.scenario""")
+def stability_jaccard(spark, sf):
+    k = X.facts(spark, sf).groupBy("scenario", "run").agg(F.count("*").alias("bullets"), F.collect_set("category").alias("keywords"))
+    return E.stability(k).select("scenario", F.round("bullet_variance", 6).alias("bullet_variance"), F.round("keyword_jaccard", 6).alias("keyword_jaccard"))
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
+def latency_percentiles(spark, sf):
+    out = E.latencies(X.table(spark, sf, "events"), "value", "event_type")
+    return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "p99")])
+
+
+@query("""WITH o AS (SELECT conv_id, turn, role AS owner FROM conversations WHERE turn % 3 <> 0), n AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 0 THEN 'user' ELSE role END AS owner FROM conversations WHERE turn % 4 <> 1)
+SELECT conv_id, turn, CASE WHEN o.owner IS NULL THEN 'insert' WHEN n.owner IS NULL THEN 'delete' WHEN o.owner <> n.owner THEN 'update' ELSE 'preserve' END AS action, coalesce(n.owner, o.owner) AS owner FROM o FULL JOIN n USING (conv_id, turn)""")
+def action_item_merge(spark, sf):
+    c = X.table(spark, sf, "conversations").withColumn("owner", F.col("role"))
+    new = c.where("turn % 4 <> 1").withColumn("owner", F.when(F.col("conv_id") % 4 == 0, "user").otherwise(F.col("role")))
+    return E.merge_items(c.where("turn % 3 <> 0"), new, ["conv_id", "turn"], "owner")
+
+
+@query("SELECT user_id, event_id, ts AS valid_from, lead(ts) OVER w AS valid_to, lead(ts) OVER w IS NULL AS current FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)")
+def summary_supersede(spark, sf):
+    return E.validity(X.table(spark, sf, "events").select("user_id", "event_id", F.col("ts").alias("valid_from")), ["user_id"], "valid_from")
+
+
+@query(f"""WITH {X.LOG}, m AS (SELECT token, ts FROM log WHERE tier = 'provisional') SELECT m.token, m.ts, (SELECT min(l.ts) FROM log l WHERE l.tier = 'committed' AND l.token = m.token AND l.ts >= m.ts) AS next_ts FROM m""")
+def pause_to_commit(spark, sf):
+    log = X.log(spark, sf)
+    return E.next_after(log.where("tier = 'provisional'"), log.where("tier = 'committed'"), "token", "ts")
+
+
+@query(f"WITH {X.FACTS}, a AS (SELECT DISTINCT scenario, category FROM facts WHERE passed AND run = 0), b AS (SELECT DISTINCT scenario, category FROM facts WHERE passed AND run = 1) SELECT a.* FROM a ANTI JOIN b USING (scenario, category)")
+def regression_gate(spark, sf):
+    f = X.facts(spark, sf)
+    return E.regressions(f.where("run = 0"), f.where("run = 1"), ["scenario", "category"])
+
+
+@query("WITH h AS (SELECT 'x' AS suite, CAST(ts AS DATE) AS run_date, count(*) // 100 AS n_files, avg(value) AS m FROM events GROUP BY 2) SELECT CAST(run_date AS VARCHAR) AS run_date, CASE WHEN lag(n_files) OVER w = n_files THEN round(m - lag(m) OVER w, 6) END AS delta FROM h WINDOW w AS (ORDER BY run_date)")
+def release_delta(spark, sf):
+    h = X.table(spark, sf, "events").groupBy(F.lit("x").alias("suite"), F.col("ts").cast("date").alias("run_date")).agg(F.floor(F.count("*") / 100).alias("n_files"), F.avg("value").alias("m"))
+    return E.release_delta(h, "m").select(F.col("run_date").cast("string").alias("run_date"), F.round("delta", 6).alias("delta"))
+
+
+@query("SELECT true AS same")
+def determinism_check(spark, sf):
+    e = X.table(spark, sf, "events").select("event_id", "value")
+    return E.same_output(e, e.repartition(5), ["event_id", "value"])
+
+
+@query("SELECT 4.148 AS speed_up")
+def speed_up(spark, sf):
+    return spark.createDataFrame([(47.7, 11.5)], "a double, b double").select(F.round(S.ratio("a", "b"), 3).alias("speed_up"))
+
+
+@query("SELECT c.conv_id, c.turn, c.role FROM conversations c WHERE c.role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn > c.turn AND d.role <> c.role)")
+def unanswered_turns(spark, sf):
+    c = X.table(spark, sf, "conversations")
+    later = c.select("conv_id", F.col("turn").alias("t"), F.col("role").alias("r"))
+    hit = (c.conv_id == later.conv_id) & (later.t > c.turn) & (later.r != c.role)
+    return c.where("role = 'user'").join(later, hit, "left_anti").select("conv_id", "turn", "role")
+
+
+@query("WITH k AS (SELECT conv_id, turn, list_distinct(string_split(text, ' ')) AS b FROM conversations) SELECT n.conv_id, n.turn, CAST(len(list_filter(p.b, lambda x: NOT list_contains(n.b, x))) AS BIGINT) AS dropped FROM k n JOIN k p ON p.conv_id = n.conv_id AND p.turn = n.turn - 1")
+def refresh_continuity(spark, sf):
+    k = X.table(spark, sf, "conversations").select("conv_id", "turn", F.split("text", " ").alias("b"))
+    prev = k.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("b").alias("p"))
+    return k.join(prev, ["conv_id", "turn"]).select("conv_id", "turn", F.size(F.array_except("p", "b")).cast("long").alias("dropped"))
+
+
+# -- streams ---------------------------------------------------------------------------------------------------------
+def _stream(spark, sf):
+    raw = spark.readStream.schema(X.table(spark, sf, "events").schema).parquet(f"{sf}/event*.parquet")
+    tier = F.when(F.col("event_id") % 4 != 0, "committed").otherwise("provisional")
+    return raw.select(F.col("user_id").alias("token"), F.col("ts").cast("timestamp").alias("ts"), tier.alias("tier"), F.col("event_type").alias("text"))
+
+
+def _finish(spark, stream, mode="append"):
+    import uuid
+
+    name = f"s{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/colloquy-streams"
+    return commits.run_once(stream, name, f"{base}/{name}", mode)
+
+
+_CH = f"WITH {X.LOG}, c AS (SELECT token, lag(tier) OVER w AS tier, CAST(text <> lag(text) OVER w AS INTEGER) AS changed FROM log WINDOW w AS (PARTITION BY token ORDER BY ts))"
+
+
+@query(f"{_CH} SELECT tier, count(*) AS n, CAST(sum(changed) AS BIGINT) AS changed FROM c WHERE tier IS NOT NULL GROUP BY tier")
+def stream_commit_stability(spark, sf):
+    return _finish(spark, commits.changes(_stream(spark, sf))).groupBy("tier").agg(F.sum("n").alias("n"), F.sum("changed").alias("changed"))
+
+
+@query(f"WITH {X.LOG} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, tier, count(*) AS n FROM log GROUP BY ALL")
+def stream_tumbling_revisions(spark, sf):
+    out = _finish(spark, commits.windows(_stream(spark, sf), "1 day"), "complete")
+    return out.select(F.col("start").cast("date").cast("string").alias("day"), "tier", "n")
+
+
+@query(f"WITH {X.LOG}, g AS (SELECT token, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM log WINDOW w AS (PARTITION BY token ORDER BY ts)), s AS (SELECT token, ts, sum(new) OVER (PARTITION BY token ORDER BY ts) AS k FROM g) SELECT token, count(*) AS sessions FROM (SELECT DISTINCT token, k FROM s) GROUP BY token")
+def stream_sessions(spark, sf):
+    out = _finish(spark, commits.sessions(_stream(spark, sf), "6 hours"), "complete")
+    return out.groupBy("token").agg(F.count("*").alias("sessions"))
+
+
+@query(f"WITH {X.LOG}, e AS (SELECT max(ts) AS t FROM log) SELECT count(*) AS n, count(*) FILTER (tier = 'committed') AS n_committed FROM log, e WHERE ts >= t - INTERVAL 1 DAY")
+def stream_trailing_revisions(spark, sf):
+    log = X.log(spark, sf)
+    edge = log.agg(F.max("ts").alias("t"))
+    recent = log.join(F.broadcast(edge), F.col("ts") >= F.col("t") - F.expr("INTERVAL 1 DAY"))  # one row
+    return recent.agg(F.count("*").alias("n"), F.count_if(F.col("tier") == "committed").alias("n_committed"))
+
+
+@query(f"WITH {X.LOG} SELECT DISTINCT token FROM log WHERE tier = 'committed' AND token % 7 = 0")
+def dropped_words(spark, sf):
+    log = X.log(spark, sf)
+    final = log.where("tier = 'committed'").select("token").distinct()
+    return commits.dropped(final, log.where("token % 7 <> 0"))
+
+
+@query(f"{_CH} SELECT tier, count(*) AS n, sum(changed) / count(*) AS rate FROM c WHERE tier IS NOT NULL GROUP BY tier")
+def change_rate(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("token").orderBy("ts")
+    log = X.log(spark, sf).select(F.lag("tier").over(w).alias("tier"), (F.col("text") != F.lag("text").over(w)).cast("int").alias("changed")).where("tier is not null")
+    return log.groupBy("tier").agg(F.count("*").alias("n"), S.ratio(F.sum("changed"), F.count("*")).alias("rate"))
