@@ -128,7 +128,8 @@ def der_by_file(segments: DataFrame, half_collar_ms: int = HALF_COLLAR_MS, uem:
     both = segments.groupBy("file_id").agg(F.count_distinct(F.when(F.col("side") == "ref", F.col("speaker"))).alias("n_ref_speakers"), F.count_distinct(F.when(F.col("side") == "hyp", F.col("speaker"))).alias("n_hyp_speakers"))
     scored = both.where("n_ref_speakers > 0 and n_hyp_speakers > 0")
     found = atoms(segments, half_collar_ms, uem)
-    return rates(components(found, assignment(cooccurrence(found)))).join(scored, "file_id")
+    parts = scored.join(components(found, assignment(cooccurrence(found))), "file_id", "left").na.fill(0, ["total_ms", "missed_ms", "fa_ms", "confusion_ms"])
+    return rates(parts)
 
 
 def skipped(segments: DataFrame) -> DataFrame:
