@@ -95,6 +95,30 @@ def test_large_groups_in_chunks_equal_whole_groups(spark):
     assert {r.doc_id: r.component_id for r in whole.collect()} == dict(enumerate(part))
 
 
+def test_parts_of_a_hot_node_lose_no_link(spark, monkeypatch):
+    """Many near copies, all in one node of every tree, cut into salted parts and their leaders into blocks."""
+    random.seed(6)
+    families = [[f"f{f}t{i}" for i in range(100)] for f in range(3)]
+    texts = []
+    for k in range(300):
+        w = list(families[k % 3])
+        for at in range(k % 7):  # the first words differ, so distances within a family vary
+            w[at * 2] = f"x{k}y{at}"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(near_dedup.near_duplicates(docs).collect())
+    monkeypatch.setattr(near_dedup, "NODE", 10)
+    monkeypatch.setattr(near_dedup, "SALT_ROWS", 15)
+    assert sorted(near_dedup.near_duplicates(docs).collect()) == want
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(96)} for t in texts]
+    part = list(range(len(sets)))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            a, b = part[i], part[j]
+            part = [min(a, b) if p in (a, b) else p for p in part]
+    assert [(r.doc_id, r.component_id) for r in want] == list(enumerate(part))
+
+
 def test_block_max_wand_equals_brute_force(spark):
     random.seed(2)
     items = [(i, " ".join(f"w{int(random.paretovariate(0.6)) % 300}" for _ in range(random.randint(5, 30))), "end") for i in range(300)]
