@@ -2,10 +2,13 @@
 
 A page is read once into blocks of text, each with its root-to-leaf tag path. Per path the extractor aggregates text
 length, punctuation, link text and block count; the ratios of length and of punctuation to blocks are smoothed over the
-blocks in page order, fused, and thresholded to select content blocks. Two kinds of structure go in beside the ratios:
-subtrees that cannot be article text (``DROP_TAGS``, boilerplate words in class, id or role, hidden elements) are left
-out before counting, and where a page marks its article (``article``, ``main`` or role=main) only link lists inside it
-face the threshold, since the mark says more than a ratio does.
+blocks in page order and fused to a score. The scores choose one subtree on every page: the deepest container that holds
+``SHARE`` of the score, weighted by text, then outer ones as long as what they add passes the threshold on the whole. Inside
+it only link lists face the threshold block by block, so that short items and headings of the story stay.
+
+Two kinds of structure go in beside the ratios: subtrees that cannot be article text (``DROP_TAGS``, boilerplate words in
+class, id or role, hidden elements) are left out before counting, and a mark (``article``, ``main`` or role=main, without
+boilerplate words in its class or id) is evidence: scores inside it count ``MARK`` times in the choice of the subtree.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page
 order by two newlines. ``br`` is white space. Null or empty html, or a page without content, gives an empty text.
@@ -41,26 +44,32 @@ DROP_WORDS = re.compile(
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 PUNCTUATION = re.compile(r"[.,;:!?¡¿…、。，？！]")
 _IMPLIED = {"li": ("li", {"ul", "ol", "menu"}), "dt": ("dt dd", {"dl"}), "dd": ("dt dd", {"dl"}), "tr": ("tr td th", {"table"}), "td": ("td th", {"tr", "table"}), "th": ("td th", {"tr", "table"}), "option": ("option", {"select"})}
+#: What a content subtree can be; text-level elements, lists and tables are parts of one.
+CONTAINERS = frozenset("html body main article section div center details".split())
 THRESHOLD = 0.35
+SHARE = 0.8
+MARK = 2.0
 
 
 class _Block:
-    __slots__ = ("path", "parts", "linked", "marked")
+    __slots__ = ("path", "within", "parts", "linked", "marked")
 
-    def __init__(self, path: str, marked: bool):
-        self.path, self.parts, self.linked, self.marked = path, [], 0, marked
+    def __init__(self, path: str, within: tuple[int, ...], marked: bool):
+        self.path, self.within, self.parts, self.linked, self.marked = path, within, [], 0, marked
 
 
 def _dropped(tag: str, attrs: str) -> tuple[bool, bool]:
     """Whether a subtree cannot be article text; whether it is marked as the article."""
     if tag in DROP_TAGS:
         return True, False
-    marked = tag in ("article", "main")
+    marked, named = tag in ("article", "main"), False
     if attrs.strip():
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
-            if name in ("class", "id") and not marked and tag not in ("html", "body") and DROP_WORDS.search(value):
-                return True, False
+            if name in ("class", "id") and tag not in ("html", "body") and DROP_WORDS.search(value):
+                if not marked:
+                    return True, False
+                named = True
             if name == "role":
                 if value.lower() in DROP_ROLES:
                     return True, False
@@ -69,15 +78,15 @@ def _dropped(tag: str, attrs: str) -> tuple[bool, bool]:
                 return True, False
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True, False
-    return False, marked
+    return False, marked and not named
 
 
 def blocks(html: str) -> list[_Block]:
     """The page's blocks of text in order, without subtrees that cannot be content."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, inside the marked article
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # tag, dropped, inside a mark, numbers of the containers it is in
     out: list[_Block] = []
     block: _Block | None = None
-    at, n = 0, len(html)
+    at, n, opened = 0, len(html), 0
 
     def text(piece: str) -> None:
         nonlocal block
@@ -86,19 +95,19 @@ def blocks(html: str) -> list[_Block]:
         if block is None:
             if not piece.strip():
                 return
-            names = [t for t, _, _ in stack]
+            names = [t for t, *_ in stack]
             while names and names[-1] not in BLOCK:
                 names.pop()
-            block = _Block("/".join(names), bool(stack) and stack[-1][2])
+            block = _Block("/".join(names), stack[-1][3] if stack else (), bool(stack) and stack[-1][2])
             out.append(block)
         piece = unescape(piece) if "&" in piece else piece
         block.parts.append(piece)
-        if any(t == "a" for t, _, _ in stack):
+        if any(t == "a" for t, *_ in stack):
             block.linked += len(piece.strip())
 
     def close(i: int) -> None:
         nonlocal block
-        if any(t in BLOCK for t, _, _ in stack[i:]):
+        if any(t in BLOCK for t, *_ in stack[i:]):
             block = None
         del stack[i:]
 
@@ -155,9 +164,10 @@ def blocks(html: str) -> list[_Block]:
                     close(i)
                     break
         drop, marked = _dropped(tag, m[3])
-        above = stack[-1] if stack else ("", False, False)
+        above = stack[-1] if stack else ("", False, False, ())
         if not m[3].rstrip().endswith("/") or tag in BLOCK:
-            stack.append((tag, above[1] or drop, above[2] or marked))
+            opened += 1
+            stack.append((tag, above[1] or drop, above[2] or marked, (*above[3], opened) if tag in CONTAINERS else above[3]))
     return out
 
 
@@ -173,8 +183,27 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
+def _subtree(within: list[tuple[int, ...]], mass: list[float], over: list[float]) -> int:
+    """The container that holds the content, 0 for the page: by ``mass`` the deepest with its share, then outer ones while
+    ``over`` of what they add is positive."""
+    held: dict[int, float] = {}
+    margin: dict[int, float] = {0: sum(over)}
+    for chain, m, o in zip(within, mass, over, strict=True):
+        for c in chain:
+            held[c], margin[c] = held.get(c, 0.0) + m, margin.get(c, 0.0) + o
+    least = SHARE * sum(mass)
+    line = [0]  # more than half of the mass, so they lie in one another
+    if least > 0:
+        line += max(([c for c in chain if held[c] >= least] for chain in within), key=len)
+    best = line[-1]
+    for c in reversed(line[:-1]):
+        if margin[c] > margin[best]:
+            best = c
+    return best
+
+
 def content(found: list[_Block], threshold: float = THRESHOLD) -> list[str]:
-    """Texts of the blocks whose paths pass the threshold."""
+    """Texts of the blocks in the subtree that the scores of the paths choose, without its link lists."""
     texts = [" ".join("".join(b.parts).split()) for b in found]
     stats: dict[str, list[float]] = {}
     for b, t in zip(found, texts, strict=True):
@@ -185,19 +214,18 @@ def content(found: list[_Block], threshold: float = THRESHOLD) -> list[str]:
             s[2] += min(b.linked, len(t))
             s[3] += 1
     kept = [(b, t) for b, t in zip(found, texts, strict=True) if t]
-    marked = any(b.marked for b, _ in kept)
-    if marked:
-        kept = [(b, t) for b, t in kept if b.marked]
     length = _smooth([stats[b.path][0] / stats[b.path][3] for b, _ in kept])
     points = _smooth([stats[b.path][1] / stats[b.path][3] for b, _ in kept])
     fused = [math.sqrt(x * (0.1 + p)) * (1 - stats[b.path][2] / stats[b.path][0]) for x, p, (b, _) in zip(length, points, kept, strict=True)]
     # the mean weighted by text, so that a long menu does not lower it
     whole = sum(len(t) for _, t in kept)
     bar = threshold * sum(f * len(t) for f, (_, t) in zip(fused, kept, strict=True)) / whole if whole else 0.0
+    told = [f * (MARK if b.marked else 1.0) for f, (b, _) in zip(fused, kept, strict=True)]
+    root = _subtree([b.within for b, _ in kept], [x * len(t) for x, (_, t) in zip(told, kept, strict=True)], [(x - bar) * len(t) for x, (_, t) in zip(told, kept, strict=True)])
     out = []
     for f, (b, t) in zip(fused, kept, strict=True):
         linked = stats[b.path][2] / stats[b.path][0]
-        if f >= bar or marked and linked <= 0.5:
+        if (not root or root in b.within) and (f >= bar or linked <= 0.5):
             out.append(t)
     return out
 

@@ -288,6 +288,22 @@ def test_main_text(spark):
     assert html_extract.main_text(None) == html_extract.main_text("<nav>x</nav>") == ""
 
 
+def test_scores_choose_the_content_whatever_the_mark():
+    paragraph = "Long sentence, with a comma. " * 14
+    story = "<h1>Head</h1>" + "".join(f"<p>{i} {paragraph}</p>" for i in range(5))
+    whole = ["Head", *[f"{i} {paragraph}".strip() for i in range(5)]]
+    teasers = "".join(f'<article class="{c}"><h3>More {i}</h3><p>A short teaser, number {i}.</p></article>' for i, c in enumerate(["card", "related", "card"]))
+    assert html_extract.main_text(f"<body><div class=story>{story}</div><div>{teasers}</div></body>") == "\n\n".join(whole)
+    assert html_extract.main_text(f"<body><main><div>{story}</div></main><div>{teasers}</div></body>") == "\n\n".join(whole)
+    items = [f"item {i} of twenty letters"[:20] for i in range(6)]
+    mixed = f"<p>0 {paragraph}</p><ul>{''.join(f'<li>{t}' for t in items)}</ul><p>1 {paragraph}</p>"
+    for tag in ("div", "article"):
+        assert html_extract.main_text(f"<body><{tag}>{mixed}</{tag}></body>") == "\n\n".join([whole[1], *items, whole[2]])
+    plain = PAGE.replace("<article>", "<div class=story>").replace("</article>", "</div>")
+    assert html_extract.main_text(plain) == html_extract.main_text(PAGE)
+    assert html_extract.main_text("<ul><li><a href=/a>only</a><li><a href=/b>links</a></ul>") == "only\n\nlinks"
+
+
 def test_url_edges(spark):
     rules = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
     urls = [None, "", "no mark", "http://", "HTTPS://A.Example.COM/en/7x?y=/en/1", "http://com/en/", "http://xcom/en/1", "http://example.com:80/en/7", "http://b.example.net/de/8#f", "http://org?/es/", "http://a.org/es/"]
