@@ -187,6 +187,22 @@ def test_perplexity_equals_plain_kneser_ney(spark):
         assert got[r.doc_id] == pytest.approx(math.log(ppl(WORD.findall(r.text))), abs=2e-4)
 
 
+def test_every_trusted_language_has_its_share_of_the_sample(spark):
+    assert quality.share_of([5, 100, 100], 65) == 30 and quality.share_of([5, 6], 65) == 65 and quality.share_of([], 9) == 9
+    random.seed(8)
+    rows = [(i, " ".join(random.choices(["alpha", "beta", "gamma", "delta"], k=40)), "en" if i % 40 else "qq") for i in range(800)]
+    rows += [(i, "long words " * 30_000, lang) for i, lang in enumerate(["en", "en", "en", "en", "xx", "xx", "xx"], 1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    with pytest.warns(UserWarning, match="'xx'"):
+        model, _ = quality.train(docs, labels, Scratch(spark, "t"), train_bytes=12_000)
+    assert set(model.unseen) == {"en", "qq"}
+    got = quality.score(docs.where("doc_id < 800"), model).where("log_ppl is null").count()
+    assert got == 0
+    few, _ = quality.train(docs.where("doc_id < 800"), labels, Scratch(spark, "t"), train_docs=8)
+    assert set(few.unseen) == {"en", "qq"}
+
+
 def test_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
