@@ -24,6 +24,16 @@ def query(sql: str | None = None):
     return add
 
 
+def whole(f, part: str | None = None, by: str = "", sql: bool = True):
+    """Registers ``f`` over the whole of its rows as ``NAME_all``: the condition ``part`` of its SQL becomes ``by``."""
+    name = f"{f.__name__}_all"
+    Q[name] = lambda spark, sf: f(spark, sf, None)
+    if sql:
+        if part not in SQL[f.__name__]:
+            raise ValueError(f"{f.__name__} has no {part!r}")
+        SQL[name] = SQL[f.__name__].replace(part, by)
+
+
 # -- retrieval and identity ------------------------------------------------------------------------------------------
 N_QUERIES = 20
 
@@ -32,14 +42,15 @@ def _vectors(spark, sf):
     return X.table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("entity"), F.col("embedding").alias("vec"))
 
 
-def _scored(spark, sf):
+def _scored(spark, sf, n):
+    """The first ``n`` ids as queries, or every vector."""
     v = _vectors(spark, sf)
-    q = v.where(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("entity").alias("truth"), F.col("vec").alias("query_vec"))
+    q = (v if n is None else v.where(F.col("vec_id") < n)).select(F.col("vec_id").alias("query_id"), F.col("entity").alias("truth"), F.col("vec").alias("query_vec"))
     return R.scores(q, v)
 
 
-def _pooled(spark, sf):
-    return R.max_pool(_scored(spark, sf), "query_id", "truth", "entity")
+def _pooled(spark, sf, n):
+    return R.max_pool(_scored(spark, sf, n), "query_id", "truth", "entity")
 
 
 _SC = f"""WITH sc AS (SELECT q.vec_id AS query_id, q.label AS truth, v.vec_id, v.label AS entity, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id < {N_QUERIES}),
@@ -50,51 +61,55 @@ tr AS (SELECT query_id, truth, rank FROM rk WHERE entity = truth)"""
 
 
 @query(f"{_SC}, kn AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM sc) SELECT query_id, vec_id, round(score, 6) AS score, rank FROM kn WHERE rank <= 5")
-def knn_topk(spark, sf):
-    return R.top_k(_scored(spark, sf), 5, item="vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+def knn_topk(spark, sf, n=N_QUERIES):
+    return R.top_k(_scored(spark, sf, n), 5, item="vec_id").select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"{_SC} SELECT query_id, truth, entity, round(score, 6) AS score, rank FROM rk")
-def maxpool_rank(spark, sf):
-    return R.ranked(_pooled(spark, sf)).withColumn("score", F.round("score", 6))
+def maxpool_rank(spark, sf, n=N_QUERIES):
+    return R.ranked(_pooled(spark, sf, n)).withColumn("score", F.round("score", 6))
 
 
 @query(f"{_SC} SELECT count(*) AS n_queries, avg(CAST(rank <= 1 AS DOUBLE)) AS recall_at_1, avg(CAST(rank <= 3 AS DOUBLE)) AS recall_at_3, avg(CAST(rank <= 5 AS DOUBLE)) AS recall_at_5 FROM tr")
-def recall_at_k(spark, sf):
-    return R.rank_metrics(R.ranked(_pooled(spark, sf)).where("entity = truth")).drop("mrr")
+def recall_at_k(spark, sf, n=N_QUERIES):
+    return R.rank_metrics(R.ranked(_pooled(spark, sf, n)).where("entity = truth")).drop("mrr")
 
 
 @query(f"{_SC} SELECT truth, count(*) AS n_queries, round(avg(1.0 / rank), 9) AS mrr FROM tr GROUP BY truth")
-def mrr(spark, sf):
-    return R.rank_metrics(R.ranked(_pooled(spark, sf)).where("entity = truth"), "truth").select("truth", "n_queries", F.round("mrr", 9).alias("mrr"))
+def mrr(spark, sf, n=N_QUERIES):
+    return R.rank_metrics(R.ranked(_pooled(spark, sf, n)).where("entity = truth"), "truth").select("truth", "n_queries", F.round("mrr", 9).alias("mrr"))
 
 
 @query(f"{_SC} SELECT count(*) AS n, count(*) FILTER (top >= 0.35) AS n_pass, count(*) FILTER (top < 0.35) AS n_reject, count(*) FILTER (top >= 0.35 AND score = top AND entity = truth) AS n_right FROM gt WHERE score = top")
-def relevance_gate(spark, sf):
-    best = R.top_k(R.gate(_pooled(spark, sf)), 1)
+def relevance_gate(spark, sf, n=N_QUERIES):
+    best = R.top_k(R.gate(_pooled(spark, sf, n)), 1)
     return best.agg(F.count("*").alias("n"), F.count_if("passes").alias("n_pass"), F.count_if(~F.col("passes")).alias("n_reject"), F.count_if(F.col("passes") & (F.col("entity") == F.col("truth"))).alias("n_right"))
 
 
 @query(f"{_SC} SELECT query_id, entity FROM gt WHERE top >= 0.35 AND score >= greatest(0.35, 0.8 * top)")
-def entry_threshold(spark, sf):
-    return R.gate(_pooled(spark, sf)).where("enters").select("query_id", "entity")
+def entry_threshold(spark, sf, n=N_QUERIES):
+    return R.gate(_pooled(spark, sf, n)).where("enters").select("query_id", "entity")
 
 
 @query(f"{_SC}, hy AS (SELECT query_id, entity, 0.5 * score + 0.3 * (entity % 4 / 4.0) + 0.1 * (entity / 10.0) + 0.1 * (entity % 3 / 3.0) AS hybrid FROM mx) SELECT query_id, entity, round(hybrid, 6) AS hybrid FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, entity) AS k FROM hy) WHERE k <= 3")
-def hybrid_rank(spark, sf):
-    parts = _pooled(spark, sf).withColumns({"text_score": F.col("entity") % 4 / 4.0, "recency": F.col("entity") / 10.0, "length": F.col("entity") % 3 / 3.0})
+def hybrid_rank(spark, sf, n=N_QUERIES):
+    parts = _pooled(spark, sf, n).withColumns({"text_score": F.col("entity") % 4 / 4.0, "recency": F.col("entity") / 10.0, "length": F.col("entity") % 3 / 3.0})
     top = R.top_k(R.hybrid(parts).withColumn("score", F.col("hybrid")), 3)
     return top.select("query_id", "entity", F.round("hybrid", 6).alias("hybrid"))
 
 
 @query(f"{_SC}, st AS (SELECT 'all' AS strategy, query_id, truth, entity, score FROM sc UNION ALL SELECT 'few', query_id, truth, entity, score FROM sc WHERE vec_id % 5 = 0), sm AS (SELECT strategy, query_id, truth, entity, max(score) AS score FROM st GROUP BY ALL), sr AS (SELECT *, row_number() OVER (PARTITION BY strategy, query_id ORDER BY score DESC, entity) AS rank FROM sm) SELECT strategy, count(*) AS n_queries, avg(CAST(rank <= 3 AS DOUBLE)) AS recall_at_3 FROM sr WHERE entity = truth GROUP BY strategy")
-def strategy_compare(spark, sf):
-    s = _scored(spark, sf)
+def strategy_compare(spark, sf, n=N_QUERIES):
+    s = _scored(spark, sf, n)
     both = s.withColumn("strategy", F.lit("all")).unionByName(s.where("vec_id % 5 = 0").withColumn("strategy", F.lit("few")))
     pooled = R.max_pool(both, "strategy", "query_id", "truth", "entity").withColumn("q", F.struct("strategy", "query_id"))
     return R.rank_metrics(R.ranked(pooled, "q").where("entity = truth"), "strategy").select("strategy", "n_queries", "recall_at_3")
 
 
+for _f in (knn_topk, maxpool_rank, recall_at_k, mrr, relevance_gate, entry_threshold, hybrid_rank, strategy_compare):
+    whole(_f, f" WHERE q.vec_id < {N_QUERIES}")
+
+
 _ID = """WITH ps AS (SELECT q.vec_id AS query_id, q.label AS truth, v.label AS entity, max(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))) AS score FROM embeddings q JOIN embeddings v ON v.vec_id % 2 = 0 WHERE q.vec_id % 50 = 1 GROUP BY ALL),
 pr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity) AS k FROM ps),
 tw AS (SELECT query_id, truth, max(entity) FILTER (k = 1) AS person, max(score) FILTER (k = 1) AS top1, max(score) FILTER (k = 2) AS top2 FROM pr WHERE k <= 2 GROUP BY ALL),

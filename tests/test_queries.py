@@ -22,3 +22,9 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 20
+
+
+def test_every_vector_is_searched_in_the_whole_queries(spark):
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    for name in ("knn_topk_all", "maxpool_rank_all"):
+        assert catalog.QUERIES[name](spark, SF).select("query_id").distinct().count() == n
