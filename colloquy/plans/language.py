@@ -117,20 +117,24 @@ oc AS (SELECT query_id, truth, person, CASE WHEN NOT (top1 >= 0.34 AND coalesce(
          CASE WHEN top1 >= 0.34 AND coalesce(top1 - top2 >= 0.02, true) THEN 'named' WHEN top1 >= 0.28 THEN 'suggested' ELSE 'none' END AS tier FROM tw)"""
 
 
-def _trials(spark, sf):
+PROBES = "vec_id % 50 = 1"
+ODD = "vec_id % 2 = 1"  # every print that is no profile
+
+
+def _trials(spark, sf, part):
     v = _vectors(spark, sf)
-    probes = v.where("vec_id % 50 = 1").select(F.col("vec_id").alias("query_id"), F.col("entity").alias("truth"), F.col("vec").alias("query_vec"))
+    probes = v.where(part or ODD).select(F.col("vec_id").alias("query_id"), F.col("entity").alias("truth"), F.col("vec").alias("query_vec"))
     return R.identify(R.max_pool(R.scores(probes, v.where("vec_id % 2 = 0")), "query_id", "truth", "entity"))
 
 
 @query(f"{_ID} SELECT query_id, truth, person, outcome FROM oc")
-def identify_open_set(spark, sf):
-    return _trials(spark, sf).select("query_id", "truth", "person", "outcome")
+def identify_open_set(spark, sf, part=PROBES):
+    return _trials(spark, sf, part).select("query_id", "truth", "person", "outcome")
 
 
 @query(f"{_ID} SELECT tier, count(*) AS n FROM oc GROUP BY tier")
-def ambiguity_refusal(spark, sf):
-    return _trials(spark, sf).groupBy("tier").agg(F.count("*").alias("n"))
+def ambiguity_refusal(spark, sf, part=PROBES):
+    return _trials(spark, sf, part).groupBy("tier").agg(F.count("*").alias("n"))
 
 
 _Z = 1.959963984540054
@@ -139,8 +143,8 @@ _Z = 1.959963984540054
 @query(f"""{_ID}, n AS (SELECT count(*) AS n, count(*) FILTER (outcome = 'correct') AS correct, count(*) FILTER (outcome = 'wrong') AS wrong, count(*) FILTER (outcome = 'refused') AS refused FROM oc)
 SELECT n, correct, wrong, refused, round((wrong / n + {_Z * _Z} / (2 * n)) / (1 + {_Z * _Z} / n) - {_Z} * sqrt(wrong / n * (1 - wrong / n) / n + {_Z * _Z} / (4 * n * n)) / (1 + {_Z * _Z} / n), 9) AS wrong_low,
   round((wrong / n + {_Z * _Z} / (2 * n)) / (1 + {_Z * _Z} / n) + {_Z} * sqrt(wrong / n * (1 - wrong / n) / n + {_Z * _Z} / (4 * n * n)) / (1 + {_Z * _Z} / n), 9) AS wrong_high FROM n""")
-def outcome_rates_wilson(spark, sf):
-    return R.outcome_rates(_trials(spark, sf)).withColumns({"wrong_low": F.round("wrong_low", 9), "wrong_high": F.round("wrong_high", 9)})
+def outcome_rates_wilson(spark, sf, part=PROBES):
+    return R.outcome_rates(_trials(spark, sf, part)).withColumns({"wrong_low": F.round("wrong_low", 9), "wrong_high": F.round("wrong_high", 9)})
 
 
 @query("SELECT label AS speaker, vec_id AS session, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) = 1 THEN 'probe' ELSE 'enrol' END AS role FROM embeddings")
@@ -155,8 +159,14 @@ def impostor_pairs(spark, sf):
 
 @query("""WITH p AS (SELECT * FROM embeddings WHERE vec_id < 40), n AS (SELECT a.vec_id AS query_id, a.label AS person, max(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS nearest FROM p a JOIN p b ON a.label <> b.label GROUP BY ALL)
 SELECT query_id, person, round(0.34 + 0.5 * greatest(0, nearest - 0.34), 6) AS bar FROM n""")
-def raised_bars(spark, sf):
-    return R.raised_bars(_vectors(spark, sf).where("vec_id < 40")).select("query_id", "person", F.round("bar", 6).alias("bar"))
+def raised_bars(spark, sf, part="vec_id < 40"):
+    v = _vectors(spark, sf)
+    return R.raised_bars(v.where(part) if part else v).select("query_id", "person", F.round("bar", 6).alias("bar"))
+
+
+for _f in (identify_open_set, ambiguity_refusal, outcome_rates_wilson):
+    whole(_f, f"q.{PROBES}", f"q.{ODD}")
+whole(raised_bars, " WHERE vec_id < 40")
 
 
 @query("WITH x AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY ALL) SELECT label AS entity, CAST(count(*) AS BIGINT) AS dims, round(sqrt(sum(x * x)), 6) AS norm FROM m GROUP BY label")

@@ -28,3 +28,9 @@ def test_every_vector_is_searched_in_the_whole_queries(spark):
     n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     for name in ("knn_topk_all", "maxpool_rank_all"):
         assert catalog.QUERIES[name](spark, SF).select("query_id").distinct().count() == n
+
+
+def test_every_print_is_tried_in_the_whole_queries(spark):
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert catalog.QUERIES["identify_open_set_all"](spark, SF).count() == n // 2
+    assert catalog.QUERIES["raised_bars_all"](spark, SF).count() == n
