@@ -34,3 +34,19 @@ def test_every_print_is_tried_in_the_whole_queries(spark):
     n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     assert catalog.QUERIES["identify_open_set_all"](spark, SF).count() == n // 2
     assert catalog.QUERIES["raised_bars_all"](spark, SF).count() == n
+
+
+def test_word_distance_of_all_turns_equals_brute_force(spark):
+    from colloquy.plans import fixtures
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(left[j] + 1, row[-1] + 1, left[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {r.pair_id: (len(r.ref_tokens), distance(r.ref_tokens, r.hyp_tokens)) for r in fixtures.tokens(spark, SF).collect()}
+    got = {r.pair_id: (r.n_ref, r.distance) for r in catalog.QUERIES["wer_distance_all"](spark, SF).collect()}
+    assert got == want and len(got) > catalog.QUERIES["wer_distance"](spark, SF).count()
