@@ -299,11 +299,15 @@ def mapping_preview(spark, sf):
 
 
 @query("SELECT event_id, strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M') AS clock, CAST(CAST(ts AS DATE) + 7 AS VARCHAR) AS due, 'next week' AS phrase FROM events WHERE event_id % 100 = 0")
-def local_clock(spark, sf):
-    e = X.table(spark, sf, "events").where("event_id % 100 = 0").withColumn("ts", F.col("ts").cast("timestamp"))
+def local_clock(spark, sf, part="event_id % 100 = 0"):
+    e = X.table(spark, sf, "events")
+    e = (e.where(part) if part else e).withColumn("ts", F.col("ts").cast("timestamp"))
     return e.select("event_id", S.local_clock("ts", F.lit("+02:00")).alias("clock"), F.date_add(F.col("ts").cast("date"), 7).cast("string").alias("due"), F.lit("next week").alias("phrase"))
 
 
+whole(local_clock, " WHERE event_id % 100 = 0")
+
+
 @query("SELECT a.doc_id, a.text = b.text AS identical FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")
 def noop_check(spark, sf):
     d = X.table(spark, sf, "documents").select("doc_id", "text")

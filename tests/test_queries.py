@@ -50,3 +50,7 @@ def test_word_distance_of_all_turns_equals_brute_force(spark):
     want = {r.pair_id: (len(r.ref_tokens), distance(r.ref_tokens, r.hyp_tokens)) for r in fixtures.tokens(spark, SF).collect()}
     got = {r.pair_id: (r.n_ref, r.distance) for r in catalog.QUERIES["wer_distance_all"](spark, SF).collect()}
     assert got == want and len(got) > catalog.QUERIES["wer_distance"](spark, SF).count()
+
+
+def test_every_event_has_a_clock_in_the_whole_query(spark):
+    assert catalog.QUERIES["local_clock_all"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
