@@ -9,8 +9,8 @@ for each occurrence, so no shard is hot; between tasks go sorted hashes as packe
 Score of a word: log(c3 / c2) if the trigram was seen at least ``min_count`` times, else log(0.4 * c2 / c1) for the
 bigram, else log(0.16 * c1 / N); with one word of context one step fewer, with none log(c1 / N) outright. An n-gram seen
 once in the corpus is only the document's own, which is why the cut-off is 2. Words are runs outside
-``[\\x20\\x09-\\x0D]``, case kept. Hashes have 20 bits more than it takes to number all n-grams of the corpus, up to 64, so
-that at any size about one n-gram in a million shares its hash with another; fewer bits pack smaller.
+``[\\x20\\x09-\\x0D]``, case kept. Hashes have twice the bits it takes to number all n-grams of the corpus, 56 at least and 64
+at most, so that up to 2**32 n-grams at most half a pair of them is expected to share a hash; fewer bits pack smaller.
 
 Nulls: a null or wordless text has 0 words and a null score. A null id is dealt like an id of its own. Repeated rows
 count as often as they occur and come out repeated. Other columns are ignored. An empty table gives an empty result.
@@ -32,11 +32,16 @@ from .scratch import id_in, id_out
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
-SPARE_BITS = 20
+LEAST_BITS = 56
 BLOCK_BYTES = 16 << 20
 SHARD_GRAMS = 3_000_000
 
 
+def hash_bits(grams: int) -> int:
+    """Bits of the hashes of so many n-grams."""
+    return min(64, max(LEAST_BITS, 2 * math.ceil(math.log2(max(2, grams)))))
+
+
 def _block_grams(texts: pa.ChunkedArray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each order its hashes at every position of the block's documents (0 where none begins), and the documents."""
     raw, offsets = K.text_bytes(texts)
@@ -149,7 +154,7 @@ def stupid_backoff(docs: DataFrame, min_count: int = MIN_COUNT, block_bytes: int
     size, total = int(size or 0), int(total or 0)
     n_blocks = max(1, math.ceil(size / block_bytes))
     n_shards = max(1, math.ceil(total * ORDER / shard_grams))
-    bits = min(64, math.ceil(math.log2(max(2, total * ORDER))) + SPARE_BITS)
+    bits = hash_bits(total * ORDER)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(n_blocks).cast("long")))
     asks = dealt.groupBy("block").applyInArrow(_ask(n_shards, bits), _ASK)
     tells = asks.groupBy("shard").applyInArrow(_tell, "block long, shard int, ord int, counts binary")

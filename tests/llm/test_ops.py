@@ -291,6 +291,13 @@ def test_backoff_shards_change_nothing(spark):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
 
 
+def test_backoff_hashes_tell_all_ngrams_apart():
+    for k in (0, 10, 20, 28, 32):
+        bits = backoff.hash_bits(1 << k)
+        assert 56 <= bits <= 64 and (1 << 2 * k) / 2 ** (bits + 1) <= 0.5
+    assert backoff.hash_bits(1 << 34) == 64
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>x</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
 <div class="cookie-notice">We use cookies, really.</div><aside>Side story, long enough, with commas.</aside>
 <article><h1>Head &amp; line</h1><p>First   <b>para</b>graph,<br>two &lt;lines&gt;.<p>Second &eacute;.<ul><li>one<li>two</ul><div class="ad">Buy now, please.</div>
