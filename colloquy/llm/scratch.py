@@ -54,3 +54,12 @@ def id_in(name: str = "doc_id") -> Column:
 def id_out(column) -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return F.nullif(column, F.lit(NULL_ID))
+
+
+def without(docs: DataFrame, ids: DataFrame, null_too: bool = False) -> DataFrame:
+    """The rows of ``docs``, all columns whatever their names, whose doc_id is not in the one column of ``ids``.
+
+    A null doc_id stays, or with ``null_too`` it is the id ``NULL_ID``.
+    """
+    key = docs["doc_id"].cast("long")
+    return docs.join(ids, (F.coalesce(key, F.lit(NULL_ID)) if null_too else key) == ids[ids.columns[0]], "left_anti")

@@ -196,11 +196,41 @@ def test_every_trusted_language_has_its_share_of_the_sample(spark):
     labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     with pytest.warns(UserWarning, match="'xx'"):
         model, _ = quality.train(docs, labels, Scratch(spark, "t"), train_bytes=12_000)
-    assert set(model.unseen) == {"en", "qq"}
+    assert {r.lang for r in model.langs.collect()} == {"en", "qq"}
     got = quality.score(docs.where("doc_id < 800"), model).where("log_ppl is null").count()
     assert got == 0
     few, _ = quality.train(docs.where("doc_id < 800"), labels, Scratch(spark, "t"), train_docs=8)
-    assert set(few.unseen) == {"en", "qq"}
+    assert {r.lang for r in few.langs.collect()} == {"en", "qq"}
+
+
+def test_scores_are_those_of_any_blocks_shards_and_parts(spark, monkeypatch):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model, _ = quality.train(docs, labels, Scratch(spark, "t"))
+    want = sorted(quality.score(docs, model).collect())
+    for name, value in (("BLOCK_BYTES", 20_000), ("SHARD_KEYS", 7_000), ("PART_BYTES", 150_000)):
+        monkeypatch.setattr(quality, name, value)
+    assert sorted(quality.score(docs, model).collect()) == want
+
+
+def test_thresholds_equal_a_plain_fit(spark):
+    random.seed(9)
+    rows = [(i, lang, random.choice([1, 3, 20, 400]), round(random.gauss(6, 0.5), 6)) for i, lang in enumerate(["en", None] * 150)]
+    rows += [(900, "en", 0, None), (901, "xx", 5, 7.0)]
+    scored = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, log_ppl double")
+    ids = spark.createDataFrame([(i,) for i in range(0, 901, 3)], "t_id long")
+    bars = {r.t_lang: r for r in quality.thresholds(scored, ids, 0.9).collect()}
+    assert set(bars) == {"en", quality.NO_LANGUAGE}
+    for lang, name in (("en", "en"), (None, quality.NO_LANGUAGE)):
+        own = [r for r in rows if r[1] == lang and r[0] % 3 == 0 and r[3] is not None]
+        mean = sum(r[3] for r in own) / len(own)
+        x, y = np.array([1 / r[2] for r in own]), np.array([(r[3] - mean) ** 2 for r in own])
+        b = max(0.0, ((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum())
+        spread = np.sqrt(np.maximum(y.mean() - b * x.mean() + b * x, max(y.mean() / 16, 1e-6)))
+        z = sorted((np.array([r[3] for r in own]) - mean) / spread)
+        assert bars[name].bar == pytest.approx(z[math.ceil(0.9 * len(z)) - 1], abs=2e-3)
+    judged = {r.doc_id: r for r in quality._judged(scored, spark.createDataFrame(list(bars.values()))).collect()}
+    assert judged[900].kept and judged[901].kept and judged[901].threshold is None
+    assert all(r.kept == (r.perplexity <= r.threshold) for r in judged.values() if r.threshold is not None)
 
 
 def test_classifier_on_held_out_labels(spark):
