@@ -1,48 +1,75 @@
 """Stupid-backoff language-model scores of a corpus under its own n-gram counts, as joins on hash shards.
 
-Documents are dealt into blocks of bounded bytes by a hash of their id. Each block's n-grams of orders 1 to 3 are exploded
-to their distinct hashes and counts, cut by hash into shards, and grouped by shard: there the count tables are summed,
-one table shard in one task, and joined back to the n-grams that each block asked for. The counts return to the block,
-which scores every position and sums per document. A frequent n-gram is one row for each block that holds it, never one
-for each occurrence, so no shard is hot; between tasks go sorted hashes as packed differences, and counts as packed bytes.
+Each task cuts its documents into blocks of bounded bytes. Each block's n-grams of orders 1 to 3 are exploded to their
+distinct hashes and counts, cut by hash into shards, and grouped by shard: there the count tables are summed, one table
+shard in one task, and joined back to the n-grams that each block asked for. The counts return to the block, which scores
+every position and sums per document. A frequent n-gram is one row for each block that holds it, never one for each
+occurrence, so no shard is hot, and no key of the documents decides where they go; between tasks go sorted 64-bit hashes
+as packed differences, counts as packed bytes and texts as compressed blocks.
 
 Score of a word: log(c3 / c2) if the trigram was seen at least ``min_count`` times, else log(0.4 * c2 / c1) for the
 bigram, else log(0.16 * c1 / N); with one word of context one step fewer, with none log(c1 / N) outright. An n-gram seen
 once in the corpus is only the document's own, which is why the cut-off is 2. Words are runs outside
-``[\\x20\\x09-\\x0D]``, case kept. Hashes have twice the bits it takes to number all n-grams of the corpus, 56 at least and 64
-at most, so that up to 2**32 n-grams at most half a pair of them is expected to share a hash; fewer bits pack smaller.
+``[\\x20\\x09-\\x0D]``, case kept.
 
-Nulls: a null or wordless text has 0 words and a null score. A null id is dealt like an id of its own. Repeated rows
-count as often as they occur and come out repeated. Other columns are ignored. An empty table gives an empty result.
+Nulls: a null or wordless text has 0 words and a null score. A null id stays null. Repeated rows count as often as they
+occur and come out repeated. Other columns are ignored. An empty table gives an empty result. A task that runs again after
+its executor is lost must make the same blocks, as reading files does; if it does not, the job fails.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import id_in, id_out
 
 ORDER = 3
 ALPHA = 0.4
 MIN_COUNT = 2
-LEAST_BITS = 56
 BLOCK_BYTES = 16 << 20
 SHARD_GRAMS = 3_000_000
 
+_BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.binary())])
+
+
+def _cut(block_bytes: int):
+    """Blocks of documents, compressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            _, offsets = K.text_bytes(batch.column("text"))
+            total = int(offsets[-1] - offsets[0])
+            for i, j in K.slices(offsets, max(1, -(-total // max(1, -(-total // block_bytes))))):
+                part = batch.slice(i, j - i)
+                with pa.BufferOutputStream() as sink:
+                    with pa.ipc.new_stream(sink, part.schema) as w:
+                        w.write_batch(part)
+                    data = sink.getvalue()
+                # named by its content, so that what was asked for one block is never told to another
+                name = hashlib.blake2b(data, digest_size=8, key=f"{task},{made}".encode()).digest()
+                made += 1
+                packed = zstandard.ZstdCompressor(level=3).compress(data)
+                yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(name, "little", signed=True)]), pa.array([packed], pa.binary())], schema=_BLOCK)
 
-def hash_bits(grams: int) -> int:
-    """Bits of the hashes of so many n-grams."""
-    return min(64, max(LEAST_BITS, 2 * math.ceil(math.log2(max(2, grams)))))
+    return run
+
+
+def _documents(table: pa.Table) -> pa.Table:
+    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(table.column("docs")[0].as_py())) as r:
+        return r.read_all()
 
 
-def _block_grams(texts: pa.ChunkedArray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _block_grams(texts: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each order its hashes at every position of the block's documents (0 where none begins), and the documents."""
     raw, offsets = K.text_bytes(texts)
     hs, ats = [], [0]
@@ -53,27 +80,27 @@ def _block_grams(texts: pa.ChunkedArray, bits: int) -> Iterator[tuple[int, np.nd
     h, at = np.concatenate(hs) if hs else np.zeros(0, np.uint64), np.array(ats)
     for n in range(1, ORDER + 1):
         g = np.zeros(len(h), dtype=np.uint64)
-        g[: max(0, len(h) - n + 1)] = np.maximum(K.ngrams(h, n) >> np.uint64(64 - bits), np.uint64(1))
+        g[: max(0, len(h) - n + 1)] = np.maximum(K.ngrams(h, n), np.uint64(1))
         for k in range(1, n):
             sizes = np.diff(at)
             g[at[1:][sizes >= k] - k] = 0
         yield n, g, at
 
 
-def _cuts(shards: int, bits: int) -> np.ndarray:
+def _cuts(shards: int) -> np.ndarray:
     """Upper ends of all shards but the last, in hash space."""
-    return np.array([(k << bits) // shards for k in range(1, shards)], dtype=np.uint64)
+    return np.array([(k << 64) // shards for k in range(1, shards)], dtype=np.uint64)
 
 
 _ASK = "shard int, block long, ord int, grams binary, counts binary"
 
 
-def _ask(shards: int, bits: int):
-    cuts = _cuts(shards, bits)
+def _ask(shards: int):
+    cuts = _cuts(shards)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         cols: list[list] = [[], [], [], [], []]
-        for n, g, _ in _block_grams(table.column("text"), bits):
+        for n, g, _ in _block_grams(_documents(table).column("text")):
             grams, counts = np.unique(g[g > 0], return_counts=True)
             edge = np.concatenate([[0], np.searchsorted(grams, cuts), [len(grams)]])
             for s in range(shards):
@@ -108,11 +135,14 @@ def _tell(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["block", "shard", "ord", "counts"])
 
 
-def _score(total: int, min_count: int, bits: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _score(total: int, min_count: int):
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            raise ValueError("a block that asked is gone; its task ran again with other rows")
+        docs = _documents(table)
         told: dict[tuple[int, int], bytes] = {(o, s): c for o, s, c in zip(answers.column("ord").to_pylist(), answers.column("shard").to_pylist(), answers.column("counts").to_pylist(), strict=True)}
         count, at = [], np.zeros(1, np.int64)
-        for n, g, at in _block_grams(docs.column("text"), bits):
+        for n, g, at in _block_grams(docs.column("text")):
             grams, place = np.unique(g, return_inverse=True)
             counts = [K.unpack(told[k], np.uint64) for k in sorted(told) if k[0] == n]
             counts = np.concatenate(counts).astype(np.float64) if counts else np.zeros(0)
@@ -149,14 +179,11 @@ def stupid_backoff(docs: DataFrame, min_count: int = MIN_COUNT, block_bytes: int
     """``doc_id, n_words, log_score, mean_log_score`` for each row; counts are of all rows. Logarithms are natural."""
     from .mixing import n_words
 
-    rows = docs.select(id_in().alias("doc"), F.col("text").cast("string").alias("text"))
-    size, total = rows.agg(F.sum(F.octet_length("text")), F.sum(n_words())).first()
-    size, total = int(size or 0), int(total or 0)
-    n_blocks = max(1, math.ceil(size / block_bytes))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    total = int(rows.agg(F.sum(n_words())).first()[0] or 0)
     n_shards = max(1, math.ceil(total * ORDER / shard_grams))
-    bits = hash_bits(total * ORDER)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(n_blocks).cast("long")))
-    asks = dealt.groupBy("block").applyInArrow(_ask(n_shards, bits), _ASK)
+    blocks = rows.mapInArrow(_cut(block_bytes), "block long, docs binary")
+    asks = blocks.groupBy("block").applyInArrow(_ask(n_shards), _ASK)
     tells = asks.groupBy("shard").applyInArrow(_tell, "block long, shard int, ord int, counts binary")
-    scored = dealt.groupBy("block").cogroup(tells.groupBy("block")).applyInArrow(_score(total, min_count, bits), "doc long, n_words long, log_score double")
-    return scored.select(id_out("doc").alias("doc_id"), "n_words", "log_score", F.try_divide("log_score", "n_words").alias("mean_log_score"))
+    scored = blocks.groupBy("block").cogroup(tells.groupBy("block")).applyInArrow(_score(total, min_count), "doc long, n_words long, log_score double")
+    return scored.select(F.col("doc").alias("doc_id"), "n_words", "log_score", F.try_divide("log_score", "n_words").alias("mean_log_score"))

@@ -321,11 +321,13 @@ def test_backoff_shards_change_nothing(spark):
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
 
 
-def test_backoff_hashes_tell_all_ngrams_apart():
-    for k in (0, 10, 20, 28, 32):
-        bits = backoff.hash_bits(1 << k)
-        assert 56 <= bits <= 64 and (1 << 2 * k) / 2 ** (bits + 1) <= 0.5
-    assert backoff.hash_bits(1 << 34) == 64
+def test_backoff_of_null_ids_only(spark):
+    texts = ["one two three"] * 2 + ["four", "", None, "two three"]
+    got = backoff.stupid_backoff(spark.createDataFrame([(None, t, 1) for t in texts], "doc_id long, text string, block int")).collect()
+    ln, n = math.log, 9
+    want = [(3, ln(2 / n) + ln(2 / 2) + ln(2 / 2))] * 2 + [(1, ln(1 / n)), (0, None), (0, None), (2, ln(3 / n) + ln(3 / 3))]
+    assert all(r.doc_id is None for r in got)
+    assert sorted((r.n_words, r.log_score or 0.0) for r in got) == [(k, pytest.approx(x or 0.0)) for k, x in sorted(want, key=lambda x: (x[0], x[1] or 0.0))]
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>x</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
