@@ -7,12 +7,15 @@ whole seeded shares of each length are taken first, and a bounded-knapsack dynam
 is left as closely as lengths allow, never above it. Which documents of a length go in is a seeded hash order.
 
 Only the histogram (source, length, count) is grouped by source: a source of n words has at most sqrt(2n) lengths.
-Documents never are: ranks within a length come from counts per hash bucket, so a hot source or length is spread over
-``BUCKETS`` groups, and only the one bucket that the cut falls in is ranked row by row.
+Documents never are. They get a rank, a seeded hash of id and text, and a cell (source, length) takes all below its cut,
+which is found from counts by the leading bits of the ranks: only the ranks of the one bucket that the cut falls in are
+sorted, ``BUCKETS`` times fewer than the cell has. So texts are only read, to be sized: what is shuffled is narrow, and
+``mix`` meets the cells by a broadcast of at most ``BROADCAST_CELLS`` rows, counted, or else by a shuffled join.
 
 Nulls: a null text has size 0; a null source is a source of its own, the last one. Documents of size 0 are taken as often
-as the whole source is. Ties of the hash order fall to the smaller doc_id; repeated rows count each for themselves. A
-source of size 0 has target 0. Empty tables give empty results. Extra columns are ignored, or kept by ``mix``.
+as the whole source is. Repeated rows count each for themselves; where the cut falls among equal rows, as many of them are
+taken as fit. A source of size 0 has target 0. Empty tables give empty results. Extra columns are ignored by ``plan`` and
+kept by ``mix``, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,29 +31,27 @@ BUDGET, MOST = 1.5, 2.0
 SEED = 17
 BUCKETS = 256
 DP_WORDS = 1 << 16
+BROADCAST_CELLS = 200_000
 
 
 def n_words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def share(sizes: list[int], weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> list[float]:
-    """Targets of the sources in order; weights repeat. Water-filling: caps bind, the rest is shared by weight."""
-    w = [weights[i % len(weights)] for i in range(len(sizes))]
-    left, free, target = budget * sum(sizes), set(range(len(sizes))), [0.0] * len(sizes)
-    while free:
-        unit = left / sum(w[i] for i in free)
-        full = {i for i in free if unit * w[i] >= most * sizes[i]}
-        for i in full:
-            target[i] = most * sizes[i]
-            left -= target[i]
-        free -= full
-        if not full:
-            for i in free:
-                target[i] = unit * w[i]
-            break
-        left = max(left, 0.0)
-    return target
+def targets(sizes: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
+    """``sid, source_size, target`` from ``sid, source_size``, one row for each source; weights repeat in the order of sid.
+
+    Water-filling: in the order of the rate at which sources fill up, each is full if the ones before leave a higher rate.
+    """
+    every, order = Window.partitionBy(), Window.orderBy("rate", "sid").rowsBetween(Window.unboundedPreceding, -1)
+    turn = (F.row_number().over(Window.orderBy("sid")) - 1) % len(weights) + 1
+    s = sizes.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), turn)).withColumn("cap", F.lit(float(most)) * F.col("source_size"))
+    s = s.withColumn("rate", F.col("cap") / F.col("w")).withColumns({"pot": budget * F.sum("source_size").over(every), "parts": F.sum("w").over(every)})
+    before = (F.col("pot") - F.coalesce(F.sum("cap").over(order), F.lit(0.0))) / (F.col("parts") - F.coalesce(F.sum("w").over(order), F.lit(0.0)))
+    s = s.withColumn("full", F.col("rate") <= before)
+    left = F.col("pot") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(every), F.lit(0.0))
+    rate = F.try_divide(left, F.sum(F.when(~F.col("full"), F.col("w"))).over(every))
+    return s.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(rate * F.col("w"))).select("sid", "source_size", "target")
 
 
 def fit(lengths: list[int], counts: list[int], budget: int, limit: int = DP_WORDS) -> list[int]:
@@ -102,12 +103,9 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def quotas(histogram: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
-    """``sid, size, whole, part, source_size, target`` from ``source, size, n``; ``sid`` is the source's UTF-8 as hex, ``~`` for null."""
-    spark = histogram.sparkSession
-    keyed = histogram.withColumn("sid", _sid("source"))
-    sizes = keyed.groupBy("sid").agg(F.sum(F.col("size") * F.col("n")).alias("s")).orderBy("sid").collect()  # one row for each source
-    target = spark.createDataFrame([(r[0], int(r[1]), float(t)) for r, t in zip(sizes, share([int(r[1]) for r in sizes], weights, budget, most), strict=True)], "sid string, source_size long, target double")
-    by_source = keyed.select("sid", "size", "n").join(target, "sid")
+    """``sid, size, whole, part, source_size, target`` from ``sid, size, n``; ``sid`` is the source's UTF-8 as hex, ``~`` for null."""
+    sizes = histogram.groupBy("sid").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    by_source = histogram.join(targets(sizes, weights, budget, most), "sid")
     return by_source.groupBy("sid").applyInPandas(_fit_source, "sid string, size long, whole long, part long, source_size long, target double")
 
 
@@ -116,28 +114,59 @@ def _sid(source: str) -> Column:
     return F.coalesce(F.hex(F.encode(F.col(source).cast("string"), "UTF-8")), F.lit("~"))
 
 
-def plan(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED, keep: tuple = ()) -> DataFrame:
-    """``doc_id, size, source_size, target, taken, copies`` for each row, and the columns of ``docs`` named in ``keep``."""
-    scratch = Scratch(docs.sparkSession, "mix")
-    base = docs.select("doc_id", n_words().alias("size"), _sid("source").alias("sid"), *[F.col(c).alias(f"__{c}") for c in keep])
-    order = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    base = base.withColumn("rank", order).withColumn("bucket", F.call_function("shiftright", F.col("rank"), F.lit(56)).cast("int"))
-    narrow = base.select("sid", "size", "bucket", "rank", "doc_id") if keep else base
+def _placed(doc_id: str, text: str, source: str, seed: int) -> dict[str, Column]:
+    rank = F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(text).cast("string"))
+    return {"sid": _sid(source), "size": n_words(text), "rank": rank}
+
+
+def _cells(placed: DataFrame, scratch: Scratch, weights: tuple, budget: float, most: float) -> DataFrame:
+    """``sid, size, whole, source_size, target, cut, few, same``: each cell takes ranks below the cut, and ``few`` of the ``same`` on it."""
+    bucket = F.call_function("shiftright", F.col("rank"), F.lit(56)).cast("int")
+    narrow = placed.select("sid", "size", "rank", bucket.alias("bucket"))
     counts = scratch.save(narrow.groupBy("sid", "size", "bucket").agg(F.count("*").alias("n")))
-    quota = quotas(counts.groupBy(F.when(F.col("sid") != "~", F.decode(F.unhex("sid"), "UTF-8")).alias("source"), "size").agg(F.sum("n").alias("n")), weights, budget, most)
+    quota = scratch.save(quotas(counts.groupBy("sid", "size").agg(F.sum("n").alias("n")), weights, budget, most))
     w = Window.partitionBy("sid", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
-    cuts = counts.join(quota, ["sid", "size"]).withColumn("open", F.col("part") - F.coalesce(F.sum("n").over(w), F.lit(0)))
-    cuts = scratch.save(cuts.select("sid", "size", "bucket", "whole", "source_size", "target", F.greatest(F.lit(0), F.least("n", "open")).alias("open"), "n"))
-    out = base.join(cuts, ["sid", "size", "bucket"])
-    inner = Window.partitionBy("sid", "size", "bucket").orderBy("rank", "doc_id")
-    sure = out.where((F.col("open") == 0) | (F.col("open") == F.col("n"))).withColumn("more", (F.col("open") > 0).cast("long"))
-    cut = out.where((F.col("open") > 0) & (F.col("open") < F.col("n"))).withColumn("more", (F.row_number().over(inner) <= F.col("open")).cast("long"))
-    both = sure.unionByName(cut).withColumn("copies", F.col("whole") + F.col("more"))
-    return both.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *[F.col(f"__{c}").alias(c) for c in keep if c != "doc_id"])
+    open_ = counts.join(quota.where("part > 0").select("sid", "size", "part"), ["sid", "size"]).withColumn("open", F.col("part") - F.coalesce(F.sum("n").over(w), F.lit(0)))
+    open_ = open_.where((F.col("open") > 0) & (F.col("open") <= F.col("n"))).select("sid", "size", "bucket", "open")  # one for each cell
+    ties = Window.partitionBy("sid", "size", "bucket", "rank")
+    in_order = Window.partitionBy("sid", "size", "bucket").orderBy("rank")
+    sorted_ = narrow.join(open_, ["sid", "size", "bucket"]).withColumns({"k": F.row_number().over(in_order), "first": F.rank().over(in_order), "same": F.count("*").over(ties)})
+    cuts = sorted_.where("k = open").select("sid", "size", F.col("rank").alias("cut"), (F.col("k") - F.col("first") + 1).alias("few"), "same")
+    return scratch.save(quota.join(cuts, ["sid", "size"], "left").drop("part"))
+
+
+def _copies(placed: DataFrame, cells: DataFrame) -> DataFrame:
+    """``placed`` with its cell's columns and ``copies``."""
+    cells = F.broadcast(cells) if cells.count() <= BROADCAST_CELLS else cells
+    out = placed.join(cells, ["sid", "size"])
+    on = F.col("rank") == F.col("cut")
+    if cells.where("few < same").head(1):  # equal rows on the cut
+        nth = F.row_number().over(Window.partitionBy("sid", "size", "rank").orderBy(F.lit(0)))
+        torn = on & (F.col("few") < F.col("same"))
+        some = out.where(torn).withColumn("more", (nth <= F.col("few")).cast("long"))
+        rest = out.where(~F.coalesce(torn, F.lit(False)))
+    else:
+        some, rest = None, out
+    rest = rest.withColumn("more", F.coalesce(F.col("rank") <= F.col("cut"), F.lit(False)).cast("long"))
+    both = rest if some is None else rest.unionByName(some)
+    return both.withColumn("copies", F.col("whole") + F.col("more"))
+
+
+def plan(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, copies`` for each row."""
+    scratch = Scratch(docs.sparkSession, "mix")
+    placed = docs.select("doc_id", "text", "source").withColumns(_placed("doc_id", "text", "source", seed))
+    placed = scratch.save(placed.select("doc_id", "sid", "size", "rank"))
+    out = _copies(placed, _cells(placed, scratch, weights, budget, most))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = SEED) -> DataFrame:
     """The mixture: the rows of ``docs``, all columns, each as often as it is taken."""
-    names = docs.columns
-    planned = plan(docs, weights, budget, most, seed, keep=tuple(c for c in names if c != "doc_id"))
-    return planned.withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*names)
+    scratch, names = Scratch(docs.sparkSession, "mix"), docs.columns
+    own = {c: f"_{k}" for k, c in enumerate(names)}
+    renamed = docs.toDF(*own.values())
+    placed = renamed.withColumns(_placed(own["doc_id"], own["text"], own["source"], seed))
+    cells = _cells(scratch.save(placed.select("sid", "size", "rank")), scratch, weights, budget, most)
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))
+    return _copies(placed, cells).select(*own.values(), copies.alias("i")).select(*[F.col(v).alias(c) for c, v in own.items()])
