@@ -8,8 +8,8 @@ the limit, or repeated rows of one id) goes to overflow pages of a bucket of ful
 chains full pages: documents of at most half the limit fill pages in order, larger ones get a page each. Only a single
 document above the limit leaves a page above it.
 
-Nulls: a null id hashes as the empty string, a null text has 0 bytes. Repeated rows count as often as they occur.
-Other columns are kept as they are; those whose names start with ``shard_`` are replaced. An empty table gives an
+Nulls: a null id hashes as its text, a null text has 0 bytes. Repeated rows count as often as they occur. Other columns
+are kept as they are, whatever their names, but for the five of the result, which are replaced. An empty table gives an
 empty result.
 """
 
@@ -28,8 +28,8 @@ BROADCAST_CELLS = 1 << 16
 _OUT = ("shard_depth", "shard_prefix", "shard_page", "shard_bytes", "shard_docs")
 
 
-def _hash(column: str) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
+def _hash(column: str, text: str) -> Column:
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.col(text).cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def _shift(column: str, by: Column) -> Column:
@@ -68,8 +68,11 @@ def shard(docs: DataFrame, limit: int, id_column: str = "doc_id", text_column: s
     if limit <= 0:
         raise ValueError("the byte limit must be positive")
     scratch = Scratch(docs.sparkSession, "shard")
-    docs = docs.drop(*_OUT)
-    sized = docs.withColumns({"__h": _hash(id_column), "__bytes": F.coalesce(F.octet_length(F.col(text_column).cast("string")), F.lit(0)).cast("long")})
+    names = [c for c in docs.columns if c not in _OUT]
+    own = {c: f"_{k}" for k, c in enumerate(names)}
+    docs = docs.select(*names).toDF(*own.values())
+    text_column = own[text_column]
+    sized = docs.withColumns({"__h": _hash(own[id_column], text_column), "__bytes": F.coalesce(F.octet_length(F.col(text_column).cast("string")), F.lit(0)).cast("long")})
     out = sized.withColumns({"shard_depth": F.lit(None).cast("int"), "shard_prefix": F.lit(None).cast("long"), "shard_bytes": F.lit(None).cast("long"), "shard_docs": F.lit(None).cast("long")})
     stuck = False
     for top, cells in directory(sized, limit, scratch):
@@ -91,7 +94,7 @@ def shard(docs: DataFrame, limit: int, id_column: str = "doc_id", text_column: s
         pages = tail.where("__small").groupBy("shard_prefix").agg((F.max("__page") + 1).alias("__before"))
         tail = tail.join(pages, "shard_prefix", "left").withColumn("shard_page", F.col("__page") + F.when(F.col("__small"), 0).otherwise(F.coalesce("__before", F.lit(0))))
         out = out.where(~over).unionByName(tail.select(out.columns))
-    return out.select(*docs.columns, *_OUT)
+    return out.select(*[F.col(v).alias(c) for c, v in own.items()], *_OUT)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
