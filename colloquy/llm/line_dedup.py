@@ -2,13 +2,15 @@
 
 A line's key is the line with ``[\\x20\\x09-\\x0D]`` stripped at both ends and A-Z lower-cased. Keys of at least
 ``MIN_CHARS`` code points found in at least ``MIN_DOCS`` documents lose their lines except in the largest doc_id that
-holds one. Texts stay where they are: what is moved is one (128-bit key, document, positions) row for each distinct long
-line of a document.
+holds one. What is sorted is one (128-bit key, document, positions) row for each distinct long line of a document; it is
+no text, and neither is the result, ``drop_bitmaps``. ``line_dedup`` applies the bitmaps: texts that lose nothing stay
+where they are (as long as the ids of the others are at most ``BROADCAST_IDS``, counted), the others meet theirs by a join.
 
-Those rows are range-partitioned by (key, document) and sorted by key and document, so a key that a third of all
-documents hold spreads over many ranges. A stream through each range settles every key that lies wholly inside it; only
-the first and last key of a range can go on elsewhere, and for these (at most two for each range, hence a proven bound
-on the broadcast) the counts of the ranges are added up.
+The rows are range-partitioned by (key, document) and sorted by key and document, so a key that a third of all documents
+hold spreads over many ranges. A stream through each range holds the rows of one key only until it has seen ``MIN_DOCS``
+documents; from there all but the newest document lose the line, whatever follows. What it can't settle, the rest of the
+first and last key of a range and of a document with more than ``HELD`` texts, goes out with counts of documents by key,
+which are added up over the ranges.
 
 Nulls: a null or empty text is one empty line. A null doc_id counts as the smallest document. Rows that repeat are one
 document; rows that share a doc_id with other texts each keep their own bitmap and count as one document. Other input
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, id_in, id_out
 
 MIN_CHARS, MIN_DOCS = 40, 5
+HELD = 10_000
+BROADCAST_IDS = 2_000_000
 _SPACE = " \t\n\x0b\x0c\r"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -44,64 +48,60 @@ def _keys(text: str | None, min_chars: int) -> dict[bytes, list[int]]:
 
 
 def _lines(min_chars: int):
-    schema = pa.schema([("key", pa.binary()), ("doc", pa.int64()), ("txt", pa.binary()), ("at", pa.binary())])
+    schema = pa.schema([("key", pa.binary()), ("doc", pa.int64()), ("txt", pa.int64()), ("at", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, doc, txt, at = [], [], [], []
-            for d, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
-                text = text.as_py()
-                if found := _keys(text, min_chars):
-                    mark = text_mark(text)
-                    for k, places in found.items():
-                        key.append(k), doc.append(d), txt.append(mark), at.append(np.array(places, "<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(doc, pa.int64()), pa.array(txt, pa.binary()), pa.array(at, pa.binary())], schema=schema)
+            for d, mark, text in zip(batch.column("doc").to_pylist(), batch.column("txt").to_pylist(), batch.column("text"), strict=True):
+                for k, places in _keys(text.as_py(), min_chars).items():
+                    key.append(k), doc.append(d), txt.append(mark), at.append(np.array(places, "<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(doc, pa.int64()), pa.array(txt, pa.int64()), pa.array(at, pa.binary())], schema=schema)
 
     return run
 
 
-def text_mark(text: str | None) -> bytes:
-    """Tells the texts of one doc_id apart."""
-    return hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=8).digest()
+#: kind 0: loses the line; 1: waits for the counts of its key; 2: documents of a key in this range (n), the newest in doc.
+_SETTLED = pa.schema([("kind", pa.int32()), ("key", pa.binary()), ("doc", pa.int64()), ("txt", pa.int64()), ("at", pa.binary()), ("n", pa.int64())])
+_SETTLED_SQL = "kind int, key binary, doc long, txt long, at binary, n long"
 
 
-_SETTLED = pa.schema([("edge", pa.bool_()), ("key", pa.binary()), ("doc", pa.int64()), ("txt", pa.binary()), ("at", pa.binary())])
-
-
-def _stream(min_docs: int):
-    """Rows of a range in order: lines to drop of the keys inside it; all lines of its first and last key, as edges."""
+def _stream(min_docs: int, held: int = HELD):
+    """Rows of a range in order: lines to drop, and what only all ranges together can settle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        key, docs, last, first_key, rows = None, 0, None, True, []
+        key, docs, last, first, torn, rows = None, 0, None, True, False, []
+
+        def made() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [[]] * len(_SETTLED)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SETTLED, strict=True)], schema=_SETTLED)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal out
-            if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SETTLED, strict=True)], schema=_SETTLED)
-                out = []
+        def end(open_: bool) -> None:
+            """Of the key that ends: settled, unless it may go on in another range or rows of it went out unsettled."""
+            if key is not None and (open_ or torn):
+                out.extend((1, *r, 0) for r in rows)
+                out.append((2, key, last, 0, b"", docs))
 
         for batch in batches:
             for k, d, t, a in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "txt", "at")), strict=True):
                 if k != key:
-                    if key is not None and not first_key and docs >= min_docs:
-                        out += [(False, *r) for r in rows if r[1] != last]
-                    if key is not None:
-                        if first_key:
-                            out += [(True, *r) for r in rows]
-                        first_key = False
-                    key, docs, last, rows = k, 0, None, []
+                    end(first)
+                    first = first and key is None
+                    key, docs, last, torn, rows = k, 0, None, False, []
                 if not docs or d != last:
                     docs, last = docs + 1, d
+                    if docs >= min_docs:  # all that went before lose the line
+                        out.extend((0, *r, 0) for r in rows)
+                        rows = []
+                elif len(rows) >= held:
+                    out.extend((1, *r, 0) for r in rows)
+                    torn, rows = True, []
                 rows.append((k, d, t, a))
-                if first_key and len(rows) >= 10_000:  # the first key is an edge whatever follows
-                    out += [(True, *r) for r in rows]
-                    rows = []
-                    yield from flush()
-            yield from flush()
-        out += [(True, *r) for r in rows]
-        yield from flush()
+            yield made()
+        end(True)
+        yield made()
 
     return run
 
@@ -113,30 +113,31 @@ def _bitmaps(table: pa.Table) -> pa.Table:
     return pa.table({"doc": table.column("doc")[:1], "txt": table.column("txt")[:1], "dropped": pa.array([zlib.compress(np.packbits(bits).tobytes(), 6)], pa.binary())})
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """``txt`` tells the texts of one doc_id apart."""
+    return docs.select(id_in().alias("doc"), F.col("text").cast("string").alias("text")).withColumn("txt", F.xxhash64("text"))
+
+
 def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``doc, txt, dropped`` of the documents that lose lines: zlib of the bits, 1 for each line dropped, first line first."""
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = docs.select(id_in().alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(_lines(min_chars), "key binary, doc long, txt binary, at binary")
+    lines = _rows(docs).mapInArrow(_lines(min_chars), "key binary, doc long, txt long, at binary")
     width = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = scratch.save(lines).repartitionByRange(width, "key", "doc").sortWithinPartitions("key", "doc")
-    settled = scratch.save(ranged.mapInArrow(_stream(min_docs), "edge boolean, key binary, doc long, txt binary, at binary"))
-    edges = settled.where("edge")
-    ends = edges.groupBy("key").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("last")).where(F.col("n") >= min_docs)
-    fall = edges.join(F.broadcast(ends), "key").where(F.col("doc") != F.col("last"))  # at most two keys for each range
-    dropped = settled.where("not edge").select("doc", "txt", "at").unionByName(fall.select("doc", "txt", "at"))
-    return dropped.groupBy("doc", "txt").applyInArrow(_bitmaps, "doc long, txt binary, dropped binary")
+    settled = scratch.save(ranged.mapInArrow(_stream(min_docs), _SETTLED_SQL))
+    ends = settled.where("kind = 2").groupBy("key").agg(F.sum("n").alias("docs"), F.max("doc").alias("last")).where(F.col("docs") >= min_docs)
+    fall = settled.where("kind = 1").select("key", "doc", "txt", "at").join(ends, "key").where(F.col("doc") != F.col("last"))
+    dropped = settled.where("kind = 0").select("doc", "txt", "at").unionByName(fall.select("doc", "txt", "at"))
+    return dropped.groupBy("doc", "txt").applyInArrow(_bitmaps, "doc long, txt long, dropped binary")
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("keep_bitmap", pa.binary()), ("kept_text", pa.string())])
     for batch in batches:
         n_lines, n_dropped, keep, kept = [], [], [], []
-        for text, marks in zip(batch.column("text"), batch.column("marks").to_pylist(), strict=True):
-            text = text.as_py()
-            lines = (text or "").split("\n")
+        for text, dropped in zip(batch.column("text"), batch.column("dropped").to_pylist(), strict=True):
+            lines = (text.as_py() or "").split("\n")
             stay = np.ones(len(lines), dtype=np.uint8)
-            own = text_mark(text) if marks else None
-            dropped = next((m["dropped"] for m in marks or () if m["txt"] == own), None)
             if dropped is not None:
                 bits = np.unpackbits(np.frombuffer(zlib.decompress(dropped), np.uint8))[: len(lines)]
                 stay[: len(bits)] -= bits
@@ -147,10 +148,14 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``doc_id, n_lines, n_dropped, keep_bitmap, kept_text`` for each row; prune kept_text to move no texts back."""
-    rows = docs.select(id_in().alias("doc"), F.col("text").cast("string").alias("text"))
-    marks = drop_bitmaps(docs, min_chars, min_docs)
-    per_id = marks.groupBy("doc").agg(F.collect_list(F.struct("txt", "dropped")).alias("marks"))  # one for each text of the id
-    picked = rows.join(per_id, "doc", "left")
-    out = picked.mapInArrow(_apply, "doc_id long, n_lines long, n_dropped long, keep_bitmap binary, kept_text string")
+    """``doc_id, n_lines, n_dropped, keep_bitmap, kept_text`` for each row."""
+    rows = _rows(docs)
+    marks = Scratch(docs.sparkSession, "marks").save(drop_bitmaps(docs, min_chars, min_docs))
+    if marks.count() <= BROADCAST_IDS:
+        ids = F.broadcast(marks.select("doc").distinct())
+        whole = rows.join(ids, "doc", "left_anti").withColumn("dropped", F.lit(None).cast("binary"))
+        rows = rows.join(ids, "doc", "left_semi").join(marks, ["doc", "txt"], "left").unionByName(whole)
+    else:
+        rows = rows.join(marks, ["doc", "txt"], "left")
+    out = rows.mapInArrow(_apply, "doc_id long, n_lines long, n_dropped long, keep_bitmap binary, kept_text string")
     return out.withColumn("doc_id", id_out("doc_id"))
