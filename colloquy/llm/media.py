@@ -3,7 +3,9 @@
 ``sequences`` parses HTML into one ordered array of text and media-reference structs per document; references are
 SHA-256 digests (``media:<hex>``) with their captions. ``resolve`` looks the digests up in a media table by an equi-join
 of narrow rows (digest, document, position), so a payload is read once per copy stored and never multiplied by its
-references; positions and captions stay aligned because they travel in the struct.
+references; positions and captions stay aligned because they travel in the struct. ``assemble`` puts what was found back
+into the arrays. Digests with more than ``HOT_REFS`` references are met by a broadcast of their few media rows (at most
+one for each so many references), so that no task gets all references to one picture.
 
 Payloads are stored losslessly as 8-bit grey PNG, 576 samples a row: ``pad`` appends bytes 255 up to a positive multiple
 of 576. ``store`` writes the table map-side into the shared folder and reads it back.
@@ -19,6 +21,7 @@ import hashlib
 import re
 import struct
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 ROW = 576
+HOT_REFS = 100_000
+KNOWN = 1 << 16
 _PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -83,16 +88,20 @@ _STORED = pa.schema([("digest", pa.string()), ("n_bytes", pa.int64()), ("media",
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[bytes] = set()  # of this task; a payload that other tasks hold too is stored there again
+    seen: OrderedDict[bytes, None] = OrderedDict()  # the latest of this task; a payload met elsewhere is stored there again
     for batch in batches:
         rows, held = [], 0
         for text in batch.column("text"):
             data = (text.as_py() or "").encode("utf-8", "surrogatepass")
             payload = pad(data)
             digest = hashlib.sha256(payload)
-            if digest.digest() in seen and len(seen) < 1 << 20:
+            known = digest.digest() in seen
+            seen[digest.digest()] = None
+            seen.move_to_end(digest.digest())
+            if known:
                 continue
-            seen.add(digest.digest())
+            if len(seen) > KNOWN:
+                seen.popitem(last=False)
             rows.append((digest.hexdigest(), len(data), encode_png(payload)))
             held += len(rows[-1][2])
             if held > 8 << 20:
@@ -209,9 +218,30 @@ def sequences(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id long, items array<struct<kind:string,text:string,digest:string,caption:string>>")
 
 
-def resolve(seqs: DataFrame, measured: DataFrame) -> DataFrame:
-    """``page_id, position, caption, digest`` and the measured columns of each media reference; null where it is unknown."""
-    refs = seqs.select("page_id", F.posexplode("items").alias("position", "item")).where("item.kind = 'media'").select("page_id", "position", "item.caption", "item.digest")
-    return refs.join(measured, "digest", "left")
+def _look_up(refs: DataFrame, media: DataFrame) -> DataFrame:
+    hot = refs.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > HOT_REFS).select("digest")
+    if not hot.head(1):
+        return refs.join(media, "digest", "left")
+    hot = F.broadcast(hot)  # at most one row for each HOT_REFS references
+    few = F.broadcast(media.join(hot, "digest", "left_semi"))
+    return refs.join(hot, "digest", "left_anti").join(media, "digest", "left").unionByName(refs.join(hot, "digest", "left_semi").join(few, "digest", "left"))
 
 
+def _refs(seqs: DataFrame, key: str) -> DataFrame:
+    return seqs.select(key, F.posexplode("items").alias("position", "item")).where("item.kind = 'media'").select(key, "position", "item.caption", "item.digest")
+
+
+def resolve(seqs: DataFrame, media: DataFrame) -> DataFrame:
+    """``page_id, position, caption, digest`` and the other columns of ``media`` (one row for each digest) of each media
+    reference; null where it is unknown."""
+    return _look_up(_refs(seqs, "page_id"), media)
+
+
+def assemble(seqs: DataFrame, media: DataFrame) -> DataFrame:
+    """``page_id, items``: the sequences with ``position, kind, text, digest, caption, media`` in each item, media a struct
+    of the other columns of ``media``, null for text and for what is unknown."""
+    keyed = Scratch(seqs.sparkSession, "sequences").save(seqs.withColumn("seq", F.monotonically_increasing_id()))
+    found = _look_up(_refs(keyed, "seq").select("seq", "position", "digest"), media.select("digest", F.struct(*[c for c in media.columns if c != "digest"]).alias("media")))
+    found = found.where("media is not null").groupBy("seq").agg(F.map_from_entries(F.collect_list(F.struct("position", "media"))).alias("found"))  # of one page
+    item = lambda x, i: F.struct(i.alias("position"), *[x[c].alias(c) for c in ("kind", "text", "digest", "caption")], F.try_element_at("found", i).alias("media"))
+    return keyed.join(found, "seq", "left").select("page_id", F.transform("items", item).alias("items"))
