@@ -1,7 +1,7 @@
 """Benchmark decontamination: a BM25 index of test items, searched by every training passage with block-max WAND.
 
 Items are indexed once (term -> postings with BM25 impacts in blocks with their maxima). Every passage of every document
-(windows of twice the longest item, stepping by half of that, so that an item always lies whole in some window) is a
+(windows of twice the longest of all items, stepping by half of that, so that an item always lies whole in some window) is a
 query for all items whose BM25 score is at least ``THRESHOLD`` of the score the item has with itself. Windows whose sums
 of term maxima, within each of ``GROUPS`` ranges of items, all stay below the threshold are passed over without a look
 at the postings: the block-max bound, taken over all windows of a slice at once. The others run block-max WAND. What is
@@ -11,7 +11,8 @@ An item's answer is its last line, or its last sentence, or its last quarter of
 columns use those. Words are runs outside ``[\\x20\\x09-\\x0D]``, A-Z lower-cased, as 64-bit hashes.
 
 The index is broadcast. Items are cut into blocks of at most ``BLOCK_BYTES`` of text (measured), one index and one pass
-for each, so the broadcast stays bounded however many items there are; document frequencies are of all items.
+for each, so the broadcast stays bounded however many items there are; document frequencies, mean length and the longest
+item are those of all items, so the result does not depend on the blocks.
 
 Nulls: items with a null or wordless text are ignored; a null text matches nothing. Repeated items count once for each
 item_id; repeated documents each get their rows. Extra columns are ignored by ``matches`` and kept by ``clean``. Empty
@@ -62,7 +63,7 @@ def question_answer(text: str) -> tuple[str, str]:
 class Index:
     """BM25 impacts, as shares of the item's score with itself, in block-max posting lists."""
 
-    def __init__(self, items: list[tuple], frequency: dict[int, int] | None, n_items: int, mean: float):
+    def __init__(self, items: list[tuple], frequency: dict[int, int] | None, n_items: int, mean: float, longest: int):
         self.items, grams, lists = [], [], defaultdict(list)
         bags = []
         for item_id, question, answer in items:
@@ -97,7 +98,7 @@ class Index:
         self.groups = np.zeros((len(self.terms), n_groups), dtype=np.float32)
         for k in range(len(self.terms)):
             np.maximum.at(self.groups[k], np.array(self.lists[k][0]) * n_groups // len(items), self.lists[k][1])
-        self.longest = max((int(c.sum()) for _, c in bags), default=1)
+        self.longest = longest
 
     def search(self, terms: list[int], threshold: float) -> dict[int, float]:
         """Block-max WAND: all items that share at least ``threshold`` of their score with the terms."""
@@ -235,14 +236,12 @@ def _indexes(items: DataFrame) -> list[Index]:
     if n_blocks == 1:
         rows = load(blocked.collect())  # at most BLOCK_BYTES, measured above
         sizes = [len(_hashes(q)) + len(_hashes(a)) for _, q, a in rows]
-        return [Index(rows, None, len(rows), sum(sizes) / len(rows))] if rows else []
+        return [Index(rows, None, len(rows), sum(sizes) / len(rows), max(sizes))] if rows else []
     # frequencies of all items for the terms of each block
     def count(batches):
         for batch in batches:
             block, term = [], []
-            sizes = 0
             for b, q, a in zip(batch.column("block").to_pylist(), batch.column("q").to_pylist(), batch.column("a").to_pylist(), strict=True):
-                sizes += 1
                 q, a = (q or "", a) if a is not None else question_answer(q or "")
                 seen = np.unique(np.concatenate([_hashes(q), _hashes(a)])).view(np.int64).tolist()
                 block += [b] * len(seen)
@@ -254,13 +253,13 @@ def _indexes(items: DataFrame) -> list[Index]:
     per_block = terms.distinct().join(frequency, "term")
     from .mixing import n_words
 
-    n_items, words = items.withColumn("text", F.concat_ws(" ", "q", "a")).agg(F.count_if(n_words() > 0), F.sum(n_words())).first()
+    n_items, words, longest = items.withColumn("text", F.concat_ws(" ", "q", "a")).agg(F.count_if(n_words() > 0), F.sum(n_words()), F.max(n_words())).first()
     out = []
     for b in range(n_blocks):
         rows = load(blocked.where(F.col("block") == b).collect())
         df = {r[0] % (1 << 64): r[1] for r in per_block.where(F.col("block") == b).select("term", "df").collect()}
         if rows:
-            out.append(Index(rows, df, n_items, words / n_items))
+            out.append(Index(rows, df, n_items, words / n_items, longest))
     return out
 
 
