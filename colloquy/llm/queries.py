@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import backoff, decontaminate, html_extract, line_dedup, media, mixing, near_dedup, quality, sharding, url_filter
@@ -36,12 +36,20 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_read(spark, sf_dir, "documents"))
 
 
+def _escaped(column) -> Column:
+    out = F.coalesce(column.cast("string"), F.lit(""))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    """Each document as a page: its source, a picture of the whole text with the language as caption, the whole text."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     raw = F.encode("text", "UTF-8")
     gap = F.when(F.octet_length("text") == 0, F.lit(media.ROW)).otherwise(F.pmod(-F.octet_length("text"), F.lit(media.ROW)))
     digest = F.sha2(F.concat(raw, F.unhex(F.repeat(F.lit("FF"), gap))), 256)
-    html = F.concat(F.lit("<p>Document</p><figure><img src=\"media:"), digest, F.lit("\"><figcaption>whole text</figcaption></figure>"))
+    html = F.concat(F.lit("<h1>"), _escaped(F.col("source")), F.lit('</h1><figure><img src="media:'), digest, F.lit('"><figcaption>'), _escaped(F.col("lang")), F.lit("</figcaption></figure><p>"), _escaped(F.col("text")), F.lit("</p>"))
     seqs = media.sequences(docs.select(F.col("doc_id").alias("page_id"), html.alias("html")))
     found = media.resolve(seqs, media.measure(media.store(docs)))
     return found.select(F.col("page_id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
@@ -108,7 +116,7 @@ FROM m GROUP BY doc_id
 
 def op7_sql(limit: int = SHARD_BYTES) -> str:
     return f"""
-WITH d AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h, coalesce(strlen(text), 0) AS b FROM documents),
+WITH d AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15) AS BIGINT) AS h, coalesce(strlen(text), 0) AS b FROM documents),
 p AS (SELECT DISTINCT h, CAST(t.depth AS INTEGER) AS depth, h >> (60 - t.depth) AS prefix FROM d, range(61) AS t(depth)),
 s AS (SELECT p.depth, p.prefix, CAST(sum(d.b) AS BIGINT) AS bytes, count(*) AS n FROM p JOIN d USING (h) GROUP BY ALL),
 f AS (SELECT p.h, min(p.depth) AS depth FROM p JOIN s USING (depth, prefix) WHERE s.bytes <= {limit} OR p.depth = 60 GROUP BY p.h)

@@ -13,11 +13,13 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset and all run on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not (spark.conf.get("spark.master", None) or "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="colloquy-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -122,7 +122,7 @@ def test_parts_of_a_hot_node_lose_no_link(spark, monkeypatch):
 def test_block_max_wand_equals_brute_force(spark):
     random.seed(2)
     items = [(i, " ".join(f"w{int(random.paretovariate(0.6)) % 300}" for _ in range(random.randint(5, 30))), "end") for i in range(300)]
-    index = decontaminate.Index(items, None, len(items), 18.0)
+    index = decontaminate.Index(items, None, len(items), 18.0, 31)
     for _ in range(200):
         terms = sorted(random.sample(range(len(index.terms)), 25))
         bar = random.choice([0.1, 0.3, 0.5])
@@ -140,8 +140,36 @@ def test_planted_items_are_found_and_clean_documents_stay(spark, monkeypatch):
     got = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()}
     assert got == leaks
     assert decontaminate.clean(docs, items).count() == docs.count() - len({d for d, _ in leaks})
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4000)  # several indexes, one result
-    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()} == leaks
+    whole = sorted(decontaminate.matches(docs, items).collect())
+    for size in (4000, 500):  # several indexes, one result
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        assert sorted(decontaminate.matches(docs, items).collect()) == whole
+
+
+def test_near_misses_do_not_depend_on_the_blocks(spark, monkeypatch):
+    """Items of very different length, and documents that hold most of their words, spread out."""
+    random.seed(13)
+    texts = [" ".join(f"i{i}w{k}" for k in range(n)) for i, n in enumerate([8, 12, 20, 60, 200])]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = []
+    for d in range(60):
+        w = texts[d % 5].split()
+        cut = random.randrange(len(w) // 2, len(w) + 1)
+        gap = [f"g{d}x{k}" for k in range(random.choice([0, 5, 40, 300]))]
+        rows.append((d, " ".join([*w[:cut], *gap, *w[cut:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(decontaminate.matches(docs, items).collect())
+    assert 20 <= len(whole)
+    for size in (1000, 300):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        assert sorted(decontaminate.matches(docs, items).collect()) == whole
+
+
+def test_rows_without_an_id_set_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "p", 1), (2, "a b c d e f", "q", 2), (None, None, "r", 3), (None, "z y", "s", 4), (None, "z y", "t", 5)], "doc_id long, text string, __gone string, gone long")
+    kept = near_dedup.keep_first(docs).collect()
+    assert {(r.doc_id, r["__gone"]) for r in kept} == {(1, "p"), (None, "r"), (None, "s"), (None, "t")}
+    assert quality.accept(docs.withColumn("lang", F.lit("en")), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).columns == ["doc_id", "text", "__gone", "gone", "lang"]
 
 
 def kneser_ney(train: list[list[str]], vocab_extra: int = 1):
@@ -255,6 +283,48 @@ def test_subset_sum_against_brute_force():
         assert total == best
 
 
+def share(sizes, weights=(3, 1, 2), budget=1.5, most=2.0):
+    """Shares again and again what is above the caps."""
+    w = [weights[i % len(weights)] for i in range(len(sizes))]
+    left, free, target = budget * sum(sizes), set(range(len(sizes))), [0.0] * len(sizes)
+    while free:
+        unit = left / sum(w[i] for i in free)
+        full = {i for i in free if unit * w[i] >= most * sizes[i]}
+        for i in full or free:
+            target[i] = most * sizes[i] if full else unit * w[i]
+        left -= sum(target[i] for i in full)
+        free = free - full if full else set()
+    return target
+
+
+def test_targets_equal_repeated_sharing(spark):
+    random.seed(11)
+    for n in (0, 1, 2, 7, 40):
+        sizes = [random.choice([0, 1, 5, 100, 10_000]) for _ in range(n)]
+        rows = spark.createDataFrame([(f"s{i:03}", x) for i, x in enumerate(sizes)], "sid string, source_size long")
+        got = {r.sid: r.target for r in mixing.targets(rows).collect()}
+        assert [got[k] for k in sorted(got)] == pytest.approx(share(sizes))
+
+
+def test_mixture_of_equal_rows_and_clashing_names(spark):
+    rows = [(None, "a b c", "x", 1), *[(None, "a b", "x", 2)] * 7, (3, "one two three four five", "y", 3), (3, "one two three four six", "y", 4), *[(i, "w " * i, "z", i) for i in range(4, 40)]]
+    names = ["doc_id", "text", "source", "size", "copies", "target", "taken", "source_size", "__i", "rank", "sid", "whole", "more"]
+    docs = spark.createDataFrame([(*r, *[f"{c}{r[3]}" for c in names[4:]]) for r in rows], "doc_id long, text string, source string, size long, " + ", ".join(f"{c} string" for c in names[4:]))
+    planned, mixed = mixing.plan(docs).collect(), mixing.mix(docs).collect()
+    assert len(planned) == len(rows) and sorted(mixing.plan(docs.repartition(3)).collect(), key=str) == sorted(planned, key=str)
+    by = {r.source_size: r.target for r in planned}
+    for size, target in by.items():
+        took = sum(r.taken for r in planned if r.source_size == size)
+        assert target - 40 < took <= target
+    assert len(mixed) == sum(r.copies for r in planned)
+    assert all(r[c] == f"{c}{r['size']}" for r in mixed for c in names[4:]) and docs.columns == mixing.mix(docs).columns
+    sizes = collections.Counter(len(r.text.split()) for r in mixed)
+    assert sizes == collections.Counter(r.size for r in planned for _ in range(r.copies))
+    ones = spark.createDataFrame([(None, "a b")] * 9, "doc_id long, text string").withColumn("source", F.lit(None).cast("string"))
+    assert sorted(r.copies for r in mixing.plan(ones).collect()) == [1] * 5 + [2] * 4
+    assert mixing.mix(ones).count() == 13
+
+
 def test_mixture_meets_its_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     a, b = [sorted(tuple(r) for r in mixing.plan(x).collect()) for x in (docs, docs.repartition(7))]
@@ -268,7 +338,7 @@ def test_mixture_meets_its_targets(spark):
         taken[source] += took
         target[source] = (source_size, t)
     names = sorted(sizes)
-    assert [target[n] for n in names] == [(sizes[n], pytest.approx(x)) for n, x in zip(names, mixing.share([sizes[n] for n in names]), strict=True)]
+    assert [target[n] for n in names] == [(sizes[n], pytest.approx(x)) for n, x in zip(names, share([sizes[n] for n in names]), strict=True)]
     assert sum(t for _, t in target.values()) == pytest.approx(1.5 * sum(sizes.values()))
     assert all(abs(taken[n] - target[n][1]) <= 50 for n in names)
     assert mixing.mix(docs).groupBy("source").agg(F.sum(mixing.n_words()).alias("n")).where("n is null").count() == 0
@@ -294,6 +364,26 @@ def test_sequences_keep_positions_and_captions(spark):
     assert [(r.page_id, r.position, r.feature) for r in media.resolve(seqs, media.measure(media.store(empty(spark)))).collect()] == [(1, 0, None)]
 
 
+def test_sequences_of_pages_are_put_back_with_their_media(spark, monkeypatch):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    seqs = media.sequences(pages)
+    for r, p in zip(seqs.orderBy("page_id").collect(), pages.orderBy("page_id").collect(), strict=True):
+        assert [i["text"] for i in r["items"] if i["kind"] == "text"] == [x["text"] for x in media.parse(p.html)] and len(r["items"]) > 3
+    texts = spark.createDataFrame([("first",), ("second",), ("first",)], "text string")
+    found = media.measure(media.store(texts))
+    a, b = (hashlib.sha256(media.pad(t)).hexdigest() for t in (b"first", b"second"))
+    html = f'<p>one</p><figure><img src="media:{a}"><figcaption>A</figcaption></figure>two<img src="media:{b}" alt="B"><img src="media:{"0" * 64}"><p>three'
+    docs = spark.createDataFrame([(1, html), (1, html), (None, f'<img src="media:{a}">'), (2, None)], "page_id long, html string")
+    want = [(0, "text", "one", None, None), (1, "media", None, "A", a), (2, "text", "two", None, None), (3, "media", None, "B", b), (4, "media", None, None, None), (5, "text", "three", None, None)]
+    for hot in (1, 100_000):
+        monkeypatch.setattr(media, "HOT_REFS", hot)
+        got = media.assemble(media.sequences(docs), found).collect()
+        items = [[(i.position, i.kind, i.text, i.caption, i.media and i.media.payload_sha256) for i in r["items"]] for r in sorted(got, key=lambda r: (r.page_id or 0, len(r["items"])))]
+        assert items == [[(0, "media", None, None, a)], want, want, []]
+        refs = media.resolve(media.sequences(docs), found).collect()
+        assert sorted((r.page_id or 0, r.position, r.caption or "", r.payload_sha256 or "") for r in refs) == sorted([(0, 0, "", a)] + [(1, p, c or "", d or "") for p, k, _, c, d in want if k == "media"] * 2)
+
+
 @pytest.mark.parametrize("limit", [3000, 20_000, 10**9])
 def test_shards_equal_their_sql(spark, limit):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where(F.octet_length("text") <= limit)
@@ -302,12 +392,60 @@ def test_shards_equal_their_sql(spark, limit):
     same(sharding.shard(docs.select("doc_id", "text"), limit).drop("text").toPandas(), con.sql(queries.op7_sql(limit)).df())
 
 
+def test_shards_keep_clashing_columns_and_part_null_ids(spark):
+    names = ["doc_id", "text", "__h", "__bytes", "__total", "__cell", "__depth", "__prefix", "__docs", "cell", "_0", "shard_note"]
+    rows = [(None, f"text {i}", *[f"{c}{i}" for c in names[2:]]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names[2:])).withColumn("shard_depth", F.lit("gone"))
+    out = sharding.shard(docs, 60)
+    assert out.columns == [*names, *sharding._OUT]
+    got = out.collect()
+    assert sorted(tuple(r)[: len(names)] for r in got) == sorted(rows)
+    assert len({(r.shard_depth, r.shard_prefix) for r in got}) > 5 and all(r.shard_bytes <= 60 for r in got)
+
+
+def test_shards_are_written_one_folder_each(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    out = sharding.shard(docs, 20_000)
+    sharding.write_shards(out, f"file://{tmp_path}/shards")
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert {(r.doc_id, r.shard) for r in back.select("doc_id", "shard").collect()} == {(r.doc_id, f"{r.shard_depth}-{r.shard_prefix}-{r.shard_page}") for r in out.drop("text").collect()}
+    sizes = back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).collect()
+    assert len(sizes) > 10 and all(r.b <= 20_000 or r.n == 1 for r in sizes)
+
+
 def test_overflow_pages_hold_the_limit(spark):
     docs = spark.createDataFrame([(1, "x" * n) for n in [10] * 30 + [60] * 3 + [500]], "doc_id long, text string")
     pages = sharding.shard(docs, 100).groupBy("shard_page").agg(F.sum(F.length("text")).alias("b"), F.count("*").alias("n")).collect()
     assert sum(p.n for p in pages) == 34 and all(p.b <= 100 or p.n == 1 for p in pages)
 
 
+def plain_lines(rows, min_chars=40, min_docs=5):
+    """Kept texts of (id, text) rows, by brute force."""
+    holders = collections.defaultdict(set)
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    for i, text in rows:
+        for line in (text or "").split("\n"):
+            if len(key(line)) >= min_chars:
+                holders[key(line)].add(-(2**63) if i is None else i)
+    gone = lambda i, line: len(holders[key(line)]) >= min_docs and max(holders[key(line)]) != (-(2**63) if i is None else i) if key(line) in holders else False
+    return sorted((i or 0, "\n".join(x for x in (text or "").split("\n") if not gone(i, x))) for i, text in rows)
+
+
+@pytest.mark.parametrize("held", [2, 10_000])
+def test_hot_lines_null_ids_and_small_ranges(spark, monkeypatch, held):
+    random.seed(12)
+    lines = [f"line number {k} is long enough to be held as a key" for k in range(6)]
+    rows = [(random.choice([None, *range(40)]), "\n".join(random.choice([random.choice(lines), random.choice(lines).upper(), f"own {i}"]) for _ in range(3)) + f"\n{i}") for i in range(160)]
+    rows += rows[:5] + [(None, lines[0])] * 3 + [(77, lines[5]), (78, None), (79, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("txt", F.lit("x")).withColumn("dropped", F.lit(1))
+    monkeypatch.setattr(line_dedup._stream, "__defaults__", (held,))
+    for ids in (10, 2_000_000):
+        monkeypatch.setattr(line_dedup, "BROADCAST_IDS", ids)
+        got = line_dedup.line_dedup(docs).collect()
+        assert sorted((r.doc_id or 0, r.kept_text) for r in got) == plain_lines(rows)
+        assert all(r.n_lines - r.n_dropped == r.kept_text.count("\n") + 1 or not r.kept_text for r in got)
+
+
 def test_lines_of_odd_documents(spark):
     got = {r.doc_id: r for r in line_dedup.line_dedup(odd_docs(spark)).collect()}
     assert (got[1].n_lines, got[1].kept_text) == (1, "") and got[16].n_dropped == 0 and all(got[i].n_dropped == 1 and got[i].kept_text == f"own {i}" for i in range(10, 16))
@@ -343,6 +481,35 @@ def test_main_text(spark):
     assert html_extract.main_text(None) == html_extract.main_text("<nav>x</nav>") == ""
 
 
+def test_path_scores_equal_plain_ratios():
+    page = html_extract._Page("<body><h2>One, two</h2><p>Three, four. Five!</p><div><p>Six <a href=x>seven</a></p></div><p>Eight. Nine, ten</p></body>")
+    texts = [" ".join("".join(x for _, x, _ in parts).split()) for _, parts in page.blocks]
+    linked = [sum(len(x.strip()) for _, x, link in parts if link) for _, parts in page.blocks]
+    assert texts == ["One, two", "Three, four. Five!", "Six seven", "Eight. Nine, ten"] and linked == [0, 0, 5, 0]
+    got, share_ = html_extract.scores([p for p, _ in page.blocks], texts, linked)
+    mean = lambda of: [of[0], (of[1] + of[3]) / 2, of[2], (of[1] + of[3]) / 2]  # noqa: E731  the paragraphs of body share a path
+    length, points = mean([len(t) for t in texts]), mean([sum(c in ".,!" for c in t) for t in texts])
+    smooth = lambda v: [sum(math.exp(-((i - j) ** 2) / 2) * v[j] for j in range(4) if abs(i - j) <= 2) / sum(math.exp(-((i - j) ** 2) / 2) for j in range(4) if abs(i - j) <= 2) for i in range(4)]
+    want = [math.sqrt(x * (0.1 + q)) * (1 - s) for x, q, s in zip(smooth(length), smooth(points), [0, 0, 5 / 9, 0], strict=True)]
+    assert got == pytest.approx(want) and share_ == pytest.approx([0, 0, 5 / 9, 0])
+
+
+def test_broken_and_deep_pages():
+    story = "<p>Long story, with commas, and don't stop.</p>" * 5
+    whole = "\n\n".join(["Long story, with commas, and don't stop."] * 5)
+    side = '<div class="sidebar"><p>Read this too, please.</p></div>'
+    for name in ("has-sidebar", "search", "related", "sidebar"):  # a word on what holds the page
+        assert html_extract.main_text(f'<body><div id="page" class="{name}"><nav>x</nav>{story}</div>{side}</body>') == whole
+        assert html_extract.main_text(f'<body><div class="{name}"><article>{story}</article></div>{side * 30}</body>') == whole
+    assert html_extract.main_text(f'<body><div>{story}</div><div id="comments">{story * 9}</div></body>') == whole
+    assert html_extract.main_text("<article><p data-x=it's>One don't two.</p><p title='a>b' class=>it's</p></article>") == "One don't two.\n\nit's"
+    assert html_extract.main_text("<header><h1>Site</h1></header><article><header><h1>Head</h1></header><p>Body, here.</p></article>") == "Head\n\nBody, here."
+    assert html_extract.main_text("<p>a < b &amp; c<p>tail <b") == "a < b & c\n\ntail"
+    assert len(html_extract.main_text("<div>a" * 100_000)) == 3 * 100_000 - 2
+    for broken in ("<b><table>" + "<i>" * 50_000 + "</b>" * 50_000, "<a " + 'x="' * 50_000, "<p " * 50_000, "<" * 50_000, "<!--" * 50_000, "<script>" * 50_000):
+        html_extract.main_text(broken)
+
+
 def test_scores_choose_the_content_whatever_the_mark():
     paragraph = "Long sentence, with a comma. " * 14
     story = "<h1>Head</h1>" + "".join(f"<p>{i} {paragraph}</p>" for i in range(5))
