@@ -30,10 +30,6 @@ def fixed3(ms) -> Column:
     return F.concat(F.floor(ms / 1000).cast("string"), F.lit("."), F.lpad(F.pmod(ms, F.lit(1000)).cast("string"), 3, "0"))
 
 
-def percent(x) -> Column:
-    return F.round(_c(x) * 100, 1)
-
-
 def minutes(seconds) -> Column:
     return (_c(seconds) / 60).cast("int")
 
@@ -44,13 +40,18 @@ def ratio(a, b) -> Column:
 
 
 def strip_fence(text) -> Column:
-    """A code fence around the whole, only where the text begins with one."""
+    """Where the text begins with a code fence: what stands between its first line and the last fence; null without a second line."""
     text = _c(text)
-    return F.when(text.startswith("```"), F.regexp_replace(F.regexp_replace(text, r"^```[^\n]*\n?", ""), r"\n?```\s*$", "")).otherwise(text)
+    body = F.regexp_extract(text, r"(?s)^[^\n]*\n(.*)$", 1)
+    inner = F.when(body.contains("```"), F.regexp_extract(body, r"(?s)^(.*)```", 1)).otherwise(body)
+    return F.when(~text.startswith("```"), text).when(text.contains("\n"), inner)
 
 
 def strip_think(text) -> Column:
-    return F.trim(F.regexp_replace(_c(text), r"(?s)<think>.*?</think>", ""))
+    """Everything up to the end of the first thoughts goes; thoughts that never end stay, and so do later ones."""
+    text = _c(text)
+    rest = F.regexp_replace(F.regexp_replace(text, r"(?s)^.*?</think>", ""), r"^\s+|\s+$", "")
+    return F.when(text.contains("<think>") & text.contains("</think>"), rest).otherwise(text)
 
 
 def response_text(text) -> Column:
@@ -58,13 +59,31 @@ def response_text(text) -> Column:
     return strip_think(strip_fence(text))
 
 
+def response_content(raw) -> Column:
+    """The message of a completion's JSON; null where it is missing, empty or no JSON."""
+    content = F.try_variant_get(F.try_parse_json(_c(raw)), "$.choices[0].message.content", "string")
+    return F.when(content != "", content)
+
+
+def response_body(raw) -> Column:
+    """The cleaned message as JSON text; null where it does not parse, so one bad response spoils no job."""
+    body = response_text(response_content(raw))
+    return F.when(F.try_parse_json(body).isNotNull(), body)
+
+
+def prompt(duration_seconds, segments_json) -> Column:
+    return F.concat(F.lit('<TRANSCRIPT duration_minutes="'), minutes(duration_seconds).cast("string"), F.lit('">\n'), _c(segments_json), F.lit("\n</TRANSCRIPT>"))
+
+
 def mapping_preview(mapping, n: int = 5) -> Column:
     """First ``n`` entries of an array of from/to structs."""
     return F.array_join(F.transform(F.slice(_c(mapping), 1, n), lambda m: F.concat(m["from"], F.lit("→"), m["to"])), ", ")
 
 
 def paragraphs(text, mark: str = "\n\n", least: int = 30) -> Column:
-    return F.filter(F.split(_c(text), mark), lambda p: F.length(p) >= least)
+    """Trimmed parts between blank lines (or ``mark``) of at least ``least`` characters."""
+    parts = F.transform(F.split(_c(text), mark), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    return F.filter(parts, lambda p: F.length(p) >= least)
 
 
 def plain(text) -> Column:
@@ -80,10 +99,20 @@ def numbers(text) -> Column:
     return F.array_distinct(F.regexp_extract_all(_c(text), F.lit(NUMBER), F.lit(0)))
 
 
+DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December) \d{4}"
+
+
+def dates(text) -> Column:
+    """Distinct ISO and written dates as ISO dates, in order of first appearance; impossible ones are left out."""
+    found = F.regexp_extract_all(_c(text), F.lit(DATE), F.lit(0))
+    iso = F.transform(found, lambda d: F.coalesce(F.try_to_timestamp(d, F.lit("yyyy-MM-dd")), F.try_to_timestamp(d, F.lit("d MMMM yyyy"))).cast("date").cast("string"))
+    return F.array_distinct(F.array_compact(iso))
+
+
 def number_value(token) -> Column:
     """``$40,000`` and ``$40k`` have one value."""
     token = _c(token)
-    digits = F.regexp_replace(token, r"[^0-9.]", "").try_cast("decimal(20,3)") if hasattr(token, "try_cast") else F.regexp_replace(token, r"[^0-9.]", "").cast("decimal(20,3)")
+    digits = F.regexp_replace(token, r"[^0-9.]", "").try_cast("decimal(20,3)")
     scale = F.when(F.lower(token).endswith("k"), 1000).when(F.lower(token).endswith("m"), 1_000_000).otherwise(1)
     return (digits * scale).cast("double")
 
@@ -98,6 +127,60 @@ def names(text) -> Column:
     return F.array_distinct(F.regexp_extract_all(_c(text), F.lit(r"\b[A-Z][a-z]+"), F.lit(0)))
 
 
+def traceable(names_, *sources) -> Column:
+    """Those names of an array that stand in none of the texts."""
+    texts = F.concat_ws("\n", *[_c(x) for x in sources])
+    return F.filter(_c(names_), lambda n: ~texts.contains(n))
+
+
+def leaked(output, document, selection) -> Column:
+    """Words that the output has from a document, and not from the selection; all three are arrays."""
+    return F.array_except(F.array_intersect(_c(output), _c(document)), _c(selection))
+
+
+def same_outside(before, after, target, replacement) -> Column:
+    """Whether an edit turned the first ``target`` into ``replacement`` and left all else as it was, byte for byte."""
+    before, after, target, replacement = (_c(x) for x in (before, after, target, replacement))
+    at = F.call_function("instr", before, target)
+    want = F.concat(F.substring(before, F.lit(1), at - 1), replacement, F.substring(before, at + F.length(target), F.length(before)))
+    return F.when(at > 0, after == want).otherwise(after == before)
+
+
+def in_order(text, *marks: str) -> Column:
+    """Whether the first places of the marks ascend, all of them being there."""
+    at = [F.instr(_c(text), m) for m in marks]
+    ok = at[0] > 0
+    for a, b in zip(at, at[1:], strict=False):
+        ok = ok & (b > a)
+    return ok
+
+
+def bullets(text) -> Column:
+    return F.regexp_count(_c(text), F.lit(r"(?m)^- "))
+
+
+#: Relative due phrases and their days; all others have none.
+PHRASE_DAYS = {"today": 0, "tomorrow": 1, "next week": 7, "in two weeks": 14}
+
+
+def due_date(said_on, phrase) -> Column:
+    """The date that a relative phrase means; the phrase itself stays verbatim in its own column."""
+    days = F.lit(None).cast("int")
+    for text, n in PHRASE_DAYS.items():
+        days = F.when(F.lower(_c(phrase)) == text, n).otherwise(days)
+    return F.date_add(_c(said_on), days)
+
+
+def run_date() -> Column:
+    return F.date_format(F.current_date(), "yyyy-MM-dd")
+
+
+def percent_text(x) -> Column:
+    """One decimal, or a dash where there is nothing."""
+    x = _c(x).cast("double")
+    return F.when(x.isNull(), "—").otherwise(F.format_string("%.1f%%", x * 100))
+
+
 def local_clock(ts, tz) -> Column:
     return F.date_format(F.from_utc_timestamp(_c(ts), _c(tz)), "yyyy-MM-dd HH:mm")
 
