@@ -24,32 +24,34 @@ def dedupe_spans(segments: DataFrame, order: str = "line") -> DataFrame:
 def atoms(segments: DataFrame, half_collar_ms: int = HALF_COLLAR_MS, uem: DataFrame | None = None) -> DataFrame:
     """``file_id, start_ms, end_ms, ref, hyp``: maximal intervals between boundaries, with sorted arrays of active labels.
 
-    Collars around reference boundaries and, if ``uem`` is given for a file, what lies outside it are cut out. The state
-    of each label is a running sum of its +1/-1 deltas over the file's boundaries: no range join.
+    Collars around reference boundaries and, if ``uem`` is given for a file, what lies outside it are cut out. Boundaries
+    are numbered, each label's running sum of +1/-1 deltas says where it is on, and an interval that is on goes to the
+    numbers it covers: no range join, no grid of boundaries and labels, and one exchange, by file, for all of it.
     """
     segments = segments.where("end_ms > start_ms")
     edge = F.explode(F.array(F.struct(F.col("start_ms").alias("t"), F.lit(1).alias("d")), F.struct(F.col("end_ms").alias("t"), F.lit(-1).alias("d"))))
-    deltas = segments.select("file_id", "side", "speaker", edge.alias("e")).select("file_id", "side", "speaker", "e.t", "e.d")
-    ref = segments.where("side = 'ref'").select("file_id", F.explode(F.array("start_ms", "end_ms")).alias("b")).distinct()
-    collar = F.explode(F.array(F.struct((F.col("b") - half_collar_ms).alias("t"), F.lit(1).alias("d")), F.struct((F.col("b") + half_collar_ms).alias("t"), F.lit(-1).alias("d"))))
-    collars = ref.select("file_id", F.lit("collar").alias("side"), F.lit("").alias("speaker"), collar.alias("e")).select("file_id", "side", "speaker", "e.t", "e.d")
-    if half_collar_ms:
-        deltas = deltas.unionByName(collars)
+    half = F.lit(half_collar_ms).cast("long")
+    around = [F.struct((F.col(b) + k * half).alias("t"), F.lit(-k).alias("d"), F.lit("collar").alias("side"), F.lit("").alias("speaker")) for b in ("start_ms", "end_ms") for k in (-1, 1)]
+    own = [F.struct(F.col(b).alias("t"), F.lit(d).alias("d"), "side", "speaker") for b, d in (("start_ms", 1), ("end_ms", -1))]
+    every = F.array(*own) if not half_collar_ms else F.when(F.col("side") == "ref", F.array(*own, *around)).otherwise(F.array(*own))
+    deltas = segments.select("file_id", F.explode(every).alias("e")).select("file_id", "e.side", "e.speaker", "e.t", "e.d")
     if uem is not None:
         region = uem.select("file_id", F.lit("uem").alias("side"), F.lit("").alias("speaker"), edge.alias("e")).select("file_id", "side", "speaker", "e.t", "e.d")
         deltas = deltas.unionByName(region)
-    deltas = deltas.groupBy("file_id", "side", "speaker", "t").agg(F.sum("d").alias("d"))
-    times = deltas.select("file_id", "t").distinct().withColumn("next", F.lead("t").over(Window.partitionBy("file_id").orderBy("t")))
-    labels = deltas.select("file_id", "side", "speaker").distinct()
-    grid = times.join(labels, "file_id").join(deltas, ["file_id", "side", "speaker", "t"], "left")
-    w = Window.partitionBy("file_id", "side", "speaker").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    live = grid.withColumn("on", F.sum(F.coalesce("d", F.lit(0))).over(w)).where("next is not null")
+    deltas = deltas.repartition("file_id").groupBy("file_id", "side", "speaker", "t").agg(F.sum("d").alias("d"))
+    by_file, by_label = Window.partitionBy("file_id"), Window.partitionBy("file_id", "side", "speaker").orderBy("t")
+    steps = deltas.withColumns({"i": F.dense_rank().over(by_file.orderBy("t")), "has_uem": F.max(F.col("side") == "uem").over(by_file)})
+    steps = steps.withColumns({"on": F.sum("d").over(by_label.rowsBetween(Window.unboundedPreceding, Window.currentRow)) > 0, "upto": F.lead("i").over(by_label)})
+    last = F.when(F.col("on") & F.col("upto").isNotNull(), F.col("upto") - 1).otherwise(F.col("i"))
+    cover = steps.select("file_id", "side", "speaker", "has_uem", "on", "t", F.posexplode(F.sequence("i", last)).alias("k", "i"))
 
     def active(side: str):
-        return F.array_sort(F.array_compact(F.collect_list(F.when((F.col("side") == side) & (F.col("on") > 0), F.col("speaker")))))
+        return F.sort_array(F.collect_set(F.when((F.col("side") == side) & F.col("on"), F.col("speaker"))))
 
-    out = live.groupBy("file_id", "t", "next").agg(active("ref").alias("ref"), active("hyp").alias("hyp"), F.max(F.when(F.col("side") == "collar", F.col("on"))).alias("c"), F.max(F.when(F.col("side") == "uem", F.col("on"))).alias("u"))
-    return out.where("coalesce(c, 0) = 0 and coalesce(u, 1) > 0 and (size(ref) > 0 or size(hyp) > 0)").select("file_id", F.col("t").alias("start_ms"), F.col("next").alias("end_ms"), "ref", "hyp")
+    seen = lambda side: F.max((F.col("side") == side) & F.col("on"))
+    out = cover.groupBy("file_id", "i").agg(F.min(F.when(F.col("k") == 0, F.col("t"))).alias("start_ms"), active("ref").alias("ref"), active("hyp").alias("hyp"), seen("collar").alias("cut"), (seen("uem") | ~F.max("has_uem")).alias("scored"))
+    out = out.withColumn("end_ms", F.lead("start_ms").over(by_file.orderBy("i")))
+    return out.where("end_ms is not null and not cut and scored and (size(ref) > 0 or size(hyp) > 0)").select("file_id", "start_ms", "end_ms", "ref", "hyp")
 
 
 def cooccurrence(found: DataFrame) -> DataFrame:
@@ -123,13 +125,44 @@ def rates(parts: DataFrame) -> DataFrame:
     })
 
 
-def der_by_file(segments: DataFrame, half_collar_ms: int = HALF_COLLAR_MS, uem: DataFrame | None = None) -> DataFrame:
-    """Per-file error of the files that both sides have, with speakers counted before any cropping."""
-    both = segments.groupBy("file_id").agg(F.count_distinct(F.when(F.col("side") == "ref", F.col("speaker"))).alias("n_ref_speakers"), F.count_distinct(F.when(F.col("side") == "hyp", F.col("speaker"))).alias("n_hyp_speakers"))
+def _file_parts(pdf: pd.DataFrame) -> pd.DataFrame:
+    whole = pdf[pdf["ref"].isna()]
+    pairs = pdf[pdf["ref"].notna()]
+    right = int(_assign(pairs)["ms"].sum()) if len(pairs) else 0
+    total, missed, fa, both = (int(whole[c].sum()) for c in ("total", "missed", "fa", "both"))
+    return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]], "total_ms": [total], "missed_ms": [missed], "fa_ms": [fa], "confusion_ms": [both - right]})
+
+
+def parts(found: DataFrame) -> DataFrame:
+    """What ``components`` of the best matching gives, in one pass over the atoms: a file's label pairs and its sums meet in one group."""
+    d, r, h = F.col("end_ms") - F.col("start_ms"), F.size("ref"), F.size("hyp")
+    pairs = F.flatten(F.transform("ref", lambda x: F.transform("hyp", lambda y: F.struct(x.alias("ref"), y.alias("hyp")))))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("ref"), F.lit(None).cast("string").alias("hyp")))
+    rows = found.select("file_id", d.alias("ms"), (d * r).alias("total"), (d * F.greatest(F.lit(0), r - h)).alias("missed"), (d * F.greatest(F.lit(0), h - r)).alias("fa"), (d * F.least(r, h)).alias("both"), F.explode(F.concat(none, pairs)).alias("p"))
+    sums = rows.groupBy("file_id", "p.ref", "p.hyp").agg(*[F.sum(c).alias(c) for c in ("ms", "total", "missed", "fa", "both")])
+    kind = dict(sums.dtypes)["file_id"]
+    return sums.groupBy("file_id").applyInPandas(_file_parts, f"file_id {kind}, total_ms long, missed_ms long, fa_ms long, confusion_ms long")
+
+
+def der_by_file(segments: DataFrame, half_collar_ms: int = HALF_COLLAR_MS, uem: DataFrame | None = None, dedupe_identical_spans: bool = False, order: str = "line") -> DataFrame:
+    """Per-file error of the files that both sides have, with speakers counted before any cropping.
+
+    With ``dedupe_identical_spans`` two labels on one span of a side count as the later line's only.
+    """
+    if dedupe_identical_spans:
+        segments = dedupe_spans(segments, order)
+    speakers = lambda side: F.size(F.collect_set(F.when(F.col("side") == side, F.col("speaker")))).cast("long")
+    both = segments.groupBy("file_id").agg(speakers("ref").alias("n_ref_speakers"), speakers("hyp").alias("n_hyp_speakers"))
     scored = both.where("n_ref_speakers > 0 and n_hyp_speakers > 0")
-    found = atoms(segments, half_collar_ms, uem)
-    parts = scored.join(components(found, assignment(cooccurrence(found))), "file_id", "left").na.fill(0, ["total_ms", "missed_ms", "fa_ms", "confusion_ms"])
-    return rates(parts)
+    done = scored.join(parts(atoms(segments, half_collar_ms, uem)), "file_id", "left")
+    return rates(done.na.fill(0, ["total_ms", "missed_ms", "fa_ms", "confusion_ms"]))
+
+
+def with_ref_ms(files: DataFrame, segments: DataFrame) -> DataFrame:
+    """Adds ``ref_ms``: the scored reference time, or the union of all reference speech where nothing was scored."""
+    spoken = turns(segments.where("side = 'ref' and end_ms > start_ms").withColumn("speaker", F.lit("")), 0)
+    whole = spoken.groupBy("file_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("spoken"))
+    return files.join(whole, "file_id", "left").withColumn("ref_ms", F.when(F.col("total_ms") > 0, F.col("total_ms")).otherwise(F.coalesce("spoken", F.lit(0)))).drop("spoken")
 
 
 def skipped(segments: DataFrame) -> DataFrame:
@@ -206,3 +239,17 @@ def intersect_ms(a: DataFrame, b: DataFrame) -> DataFrame:
     """``file_id, ms`` in both of two interval sets, each merged first."""
     merged = [turns(x.withColumn("speaker", F.lit("")), 0).select("file_id", F.lit(i).alias("turn"), "start_ms", "end_ms") for i, x in enumerate((a, b))]
     return spans(merged[0].drop("turn"), merged[1].drop("turn")).groupBy("file_id").agg(F.sum("ms").alias("ms"))
+
+
+def handoffs(rows: DataFrame, key: list[str], order: str, speaker: str = "speaker") -> DataFrame:
+    """Adds ``handoff``: the next row of the key is another speaker's; false for the last."""
+    return rows.withColumn("handoff", F.coalesce(~F.lead(speaker).over(Window.partitionBy(*key).orderBy(order)).eqNullSafe(F.col(speaker)) & F.lead(order).over(Window.partitionBy(*key).orderBy(order)).isNotNull(), F.lit(False)))
+
+
+def claims(heard: DataFrame, claimed: DataFrame) -> DataFrame:
+    """``file_id, n_claims, n_over, claimed_ms, covered_ms``: claimed spans, those that touch no speech heard, and the time they share with it."""
+    speech = turns(heard.withColumn("speaker", F.lit("")), 0).select("file_id", "start_ms", "end_ms")
+    ids = claimed.select("file_id", "line", "start_ms", "end_ms")
+    met = spans(ids, speech).groupBy("file_id", "line").agg(F.sum("ms").alias("ms"))
+    both = ids.join(met, ["file_id", "line"], "left").withColumn("ms", F.coalesce("ms", F.lit(0)))
+    return both.groupBy("file_id").agg(F.count("*").alias("n_claims"), F.count_if(F.col("ms") == 0).alias("n_over"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("claimed_ms"), F.sum("ms").alias("covered_ms"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,41 +14,72 @@ from colloquy.functions.scalars import ratio
 SEVERITY = {"critical": 3, "major": 2, "minor": 1}
 
 
-def _align(ref: list[str], hyp: list[str]) -> list[tuple]:
-    """Cheapest edits; of equal ones a match or substitution before a deletion before an insertion, from the end back."""
+def _row(before: np.ndarray, h: np.ndarray, token: int, i: int) -> np.ndarray:
+    """Edit costs of the first ``i`` reference tokens against all beginnings of ``h``, from those of one token less."""
+    row = np.empty(len(h) + 1, dtype=np.int64)
+    row[0] = i
+    np.minimum(before[:-1] + (h != token), before[1:] + 1, out=row[1:])
+    steps = np.arange(len(h) + 1)
+    return np.minimum.accumulate(row - steps) + steps
+
+
+def _align(ref: list, hyp: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Operation (0 match, 1 substitution, 2 deletion, 3 insertion) and the places in ref and hyp, -1 for none.
+
+    Cheapest edits; of equal ones a match or substitution before a deletion before an insertion, from the end back. Of the
+    costs only every sqrt(n)-th row is kept, and the rows between two of them are made again on the way back, so memory
+    grows with tokens to the power 1.5, not 2.
+    """
     codes = {w: i for i, w in enumerate(dict.fromkeys([*ref, *hyp]))}
     r, h = np.array([codes[w] for w in ref], dtype=np.int64), np.array([codes[w] for w in hyp], dtype=np.int64)
     n, m = len(r), len(h)
-    cost = np.zeros((n + 1, m + 1), dtype=np.int32)
-    cost[0] = np.arange(m + 1)
-    steps = np.arange(m + 1)
-    for i in range(1, n + 1):
-        row = np.empty(m + 1, dtype=np.int64)
-        row[0] = i
-        row[1:] = np.minimum(cost[i - 1, :-1] + (h != r[i - 1]), cost[i - 1, 1:] + 1)
-        cost[i] = np.minimum.accumulate(row - steps) + steps
-    out, i, j = [], n, m
+    step = max(1, math.isqrt(n))
+    kept, row = [], np.arange(m + 1)
+    for i in range(n + 1):
+        if i:
+            row = _row(row, h, r[i - 1], i)
+        if i % step == 0:
+            kept.append(row.astype(np.int32))
+    ops, places, others = [], [], []
+    i, j, base, rows = n, m, n + 1, []
     while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (r[i - 1] != h[j - 1]):
+        if i and i - 1 < base:
+            base = (i - 1) // step * step
+            rows = [kept[base // step].astype(np.int64)]
+            for k in range(base + 1, i + 1):
+                rows.append(_row(rows[-1], h, r[k - 1], k))
+        if i and j and rows[i - base][j] == rows[i - 1 - base][j - 1] + (r[i - 1] != h[j - 1]):
             i, j = i - 1, j - 1
-            out.append(("match" if r[i] == h[j] else "sub", ref[i], hyp[j], i))
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
+            ops.append(int(r[i] != h[j])), places.append(i), others.append(j)
+        elif i and rows[i - base][j] == rows[i - 1 - base][j] + 1:
             i -= 1
-            out.append(("del", ref[i], None, i))
+            ops.append(2), places.append(i), others.append(-1)
         else:
             j -= 1
-            out.append(("ins", None, hyp[j], i))
-    return out[::-1]
+            ops.append(3), places.append(-1), others.append(j)
+    return tuple(np.array(x[::-1], dtype=np.int64) for x in (ops, places, others))
+
+
+_OPS = pa.array(["match", "sub", "del", "ins"])
+_ALIGNED = pa.schema([("pair_id", pa.string()), ("pos", pa.int64()), ("op", pa.string()), ("ref_pos", pa.int64()), ("ref", pa.string()), ("hyp", pa.string())])
 
 
 def align(pairs: DataFrame) -> DataFrame:
-    """``pair_id, pos, op, ref, hyp`` of each aligned token, from ``pair_id, ref_tokens, hyp_tokens``; one pair at a time in memory."""
+    """``pair_id, pos, op, ref_pos, ref, hyp`` of each aligned token, from ``pair_id, ref_tokens, hyp_tokens``; one pair at a time in memory.
+
+    With ``ref_keys, hyp_keys`` in the table, arrays of the same lengths, tokens match by these. Null arrays are empty.
+    """
     def run(batches):
-        for pdf in batches:
-            rows = [(p, k, op, r, h) for p, a, b in zip(pdf["pair_id"], pdf["ref_tokens"], pdf["hyp_tokens"], strict=True) for k, (op, r, h, _) in enumerate(_align(list(a if a is not None else []), list(b if b is not None else [])))]
-            yield pd.DataFrame(rows, columns=["pair_id", "pos", "op", "ref", "hyp"])
+        for batch in batches:
+            for pair in batch.to_pylist():
+                ref, hyp = pair["ref_tokens"] or [], pair["hyp_tokens"] or []
+                op, i, j = _align(pair.get("ref_keys") or ref, pair.get("hyp_keys") or hyp)
+                at = pa.array(i, mask=i < 0)
+                columns = [pa.array([pair["pair_id"]] * len(op), pa.string()), pa.array(np.arange(len(op))), _OPS.take(pa.array(op)), at, pa.array(ref, pa.string()).take(at), pa.array(hyp, pa.string()).take(pa.array(j, mask=j < 0))]
+                yield pa.RecordBatch.from_arrays(columns, schema=_ALIGNED)
 
-    return pairs.select("pair_id", "ref_tokens", "hyp_tokens").mapInPandas(run, "pair_id string, pos long, op string, ref string, hyp string")
+    keys = [c for c in ("ref_keys", "hyp_keys") if {"ref_keys", "hyp_keys"} <= set(pairs.columns)]
+    return pairs.select(F.col("pair_id").cast("string").alias("pair_id"), "ref_tokens", "hyp_tokens", *keys).mapInArrow(run, "pair_id string, pos long, op string, ref_pos long, ref string, hyp string")
 
 
 def word_errors(aligned: DataFrame, *by: str) -> DataFrame:
@@ -55,11 +88,22 @@ def word_errors(aligned: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("wer", ratio(F.col("deletions") + F.col("insertions") + F.col("substitutions"), "n_ref"))
 
 
+def deletion_rates(aligned: DataFrame, flags: DataFrame, by: str) -> DataFrame:
+    """Deletions and their share of the reference by a flag of ``flags`` (pair_id, ref_pos, ``by``), never without the insertions.
+
+    An insertion belongs to the stratum of the reference token before it, or else of the pair's first.
+    """
+    before = F.last("ref_pos", ignorenulls=True).over(Window.partitionBy("pair_id").orderBy("pos"))
+    placed = aligned.withColumn("ref_pos", F.coalesce("ref_pos", before, F.lit(0)))
+    out = placed.join(flags.select("pair_id", "ref_pos", by), ["pair_id", "ref_pos"], "left").groupBy(by)
+    out = out.agg(F.count_if(F.col("op") != "ins").alias("n_ref"), F.count_if(F.col("op") == "del").alias("deletions"), F.count_if(F.col("op") == "ins").alias("insertions"))
+    return out.withColumn("deletion_rate", ratio("deletions", "n_ref"))
+
+
 def deletion_runs(aligned: DataFrame) -> DataFrame:
     """``pair_id, run, length`` of consecutive deletions in alignment order."""
     w = Window.partitionBy("pair_id").orderBy("pos")
-    all_ = aligned.withColumn("__i", F.row_number().over(w))
-    gone = all_.where("op = 'del'").withColumn("run", F.col("__i") - F.row_number().over(w))
+    gone = aligned.where("op = 'del'").withColumn("run", F.col("pos") - F.row_number().over(w))
     return gone.groupBy("pair_id", "run").agg(F.count("*").alias("length"))
 
 
@@ -74,6 +118,13 @@ def mark_scores(aligned: DataFrame, pattern: str = r"[.?!]$") -> DataFrame:
     return out.withColumns({"precision": ratio("both", "in_hyp"), "recall": ratio("both", "in_ref")})
 
 
+def boundary_recall(aligned: DataFrame, ends: DataFrame, pattern: str = r"[.?!]$") -> DataFrame:
+    """Of the sentence ends at speaker handoffs (``ends``: pair_id, ref_pos), the share that the hypothesis ends too."""
+    met = aligned.join(ends.select("pair_id", "ref_pos"), ["pair_id", "ref_pos"], "left_semi").where(F.col("ref").rlike(pattern))
+    out = met.agg(F.count("*").alias("n_boundaries"), F.count_if(F.coalesce(F.col("hyp").rlike(pattern), F.lit(False))).alias("n_found"))
+    return out.withColumn("recall", ratio("n_found", "n_boundaries"))
+
+
 def composite(facts: DataFrame) -> DataFrame:
     """Severity-weighted share of passed assertions of each scenario and run."""
     weight = F.when(F.col("severity") == "critical", 3).when(F.col("severity") == "major", 2).otherwise(1)
@@ -148,3 +199,40 @@ def same_output(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
         return df.agg(F.count("*").alias(f"n_{name}"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias(f"h_{name}"))
 
     return mark(a, "a").join(mark(b, "b"), F.lit(True)).select(((F.col("n_a") == F.col("n_b")) & F.col("h_a").eqNullSafe(F.col("h_b"))).alias("same"))
+
+
+def pass_rates(facts: DataFrame, categories: str, *by: str) -> DataFrame:
+    """Passed share by category (an array column: a fact counts in each) and ``by``; full passes are facts of ``passed``."""
+    each = facts.withColumn("category", F.explode(categories))
+    out = each.groupBy("category", *by).agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"))
+    return out.withColumn("rate", ratio("n_passed", "n"))
+
+
+def held(facts: DataFrame, categories: str, scenario: str = "scenario", *runs: str) -> DataFrame:
+    """By category: scenarios, and those that passed in every one of their ``runs`` (columns that tell runs apart)."""
+    each = facts.withColumn("category", F.explode(categories))
+    one = each.groupBy("category", scenario).agg(F.bool_and("passed").alias("held"), F.count_distinct(*runs).alias("runs"))
+    return one.groupBy("category").agg(F.count("*").alias("n_scenarios"), F.count_if("held").alias("n_held"), F.max("runs").alias("most_runs"))
+
+
+def median_by(rows: DataFrame, value, *by: str) -> DataFrame:
+    """Count and exact median of an expression."""
+    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.median(value).alias("median"))
+
+
+def uncovered(wanted: DataFrame, said: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows of ``wanted`` (``key``, goal) whose goal stands in no text of its key, case aside."""
+    met = wanted.join(said.select(key, F.lower(text).alias("__t")), key).where(F.col("__t").contains(F.lower("goal")))
+    return wanted.join(met.select(key, "goal").distinct(), [key, "goal"], "left_anti")
+
+
+def coverage(expected, found):
+    """Share of the expected items that were found; null where none were expected."""
+    return F.try_divide(F.size(F.array_intersect(expected, found)).cast("double"), F.size(F.array_distinct(expected)).cast("double"))
+
+
+def unanswered(turns: DataFrame, key: str, order: str, speaker: str) -> DataFrame:
+    """Turns after which no other speaker of the key has one: their speaker is all that is left. One window, no join."""
+    after = Window.partitionBy(key).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    lowest, highest = F.min(speaker).over(after), F.max(speaker).over(after)
+    return turns.where(f"{speaker} is not null").withColumns({"__a": lowest, "__b": highest}).where(F.col("__a").isNull() | (F.col("__a") == F.col("__b")) & (F.col("__a") == F.col(speaker))).drop("__a", "__b")
