@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from colloquy.plans import language, speech
+from colloquy.plans import alignment, assertions, report, retrieval, speech, streams, texts
 
-QUERIES: dict = {**speech.Q, **language.Q}
-ORACLE: dict[str, str] = {**speech.SQL, **language.SQL}
+_MODULES = (speech, report, alignment, retrieval, texts, assertions, streams)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.Q.items()}
+ORACLE: dict[str, str] = {k: v for m in _MODULES for k, v in m.SQL.items()}

@@ -53,6 +53,16 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hypothesis: without every 11th word, every 13th doubled, every 17th cut to three letters."""
-    hyp = "flatten(transform(t, (x, i) -> CASE WHEN i % 11 = 10 THEN array() WHEN i % 13 = 12 THEN array(x, x) WHEN i % 17 = 16 THEN array(substring(x, 1, 3)) ELSE array(x) END))"
+    """Hypothesis: words dropped alone and in runs, doubled, or cut to three letters."""
+    hyp = """flatten(transform(t, (x, i) -> CASE WHEN i % 11 = 10 OR i % 37 IN (19, 20) OR i % 61 BETWEEN 39 AND 43 OR i % 89 BETWEEN 59 AND 69 THEN array()
+             WHEN i % 13 = 12 THEN array(x, x) WHEN i % 17 = 16 THEN array(substring(x, 1, 3)) ELSE array(x) END))"""
     return run(spark, sf_dir, TOKENS, f"SELECT pair_id, t AS ref_tokens, {hyp} AS hyp_tokens FROM w", "conversations")
+
+
+def marked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As spoken and as written: marks and capitals lost and made up; keys are the bare words."""
+    hyp = """flatten(transform(t, (x, i) -> CASE WHEN i % 23 = 22 THEN array() WHEN i % 7 = 6 THEN array(regexp_replace(x, '[.,]$', '')) WHEN i % 19 = 18 THEN array(concat(x, '.'))
+             WHEN i % 5 = 4 THEN array(lower(x)) WHEN i % 29 = 28 THEN array(upper(x)) ELSE array(x) END))"""
+    bare = "transform({0}, x -> lower(regexp_replace(x, '[.,]+$', '')))"
+    words = TOKENS.replace("split(lower(coalesce(text, '')), ' ')", "split(coalesce(text, ''), ' ')")
+    return run(spark, sf_dir, f"{words}, u AS (SELECT pair_id, t, {hyp} AS h FROM w)", f"SELECT pair_id, t AS ref_tokens, h AS hyp_tokens, {bare.format('t')} AS ref_keys, {bare.format('h')} AS hyp_keys FROM u", "conversations")

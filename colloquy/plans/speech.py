@@ -9,20 +9,10 @@ from colloquy.operators import diarization as D
 from colloquy.operators import evaluation as E
 from colloquy.operators import retrieval as R
 from colloquy.plans.fixtures import SEGMENTS, segments
-from colloquy.sources import rttm
+from colloquy.plans.registry import registry
+from colloquy.sources import corpora, rttm
 
-Q: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        Q[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+Q, SQL, query = registry()
 
 
 _SEG = f"WITH RECURSIVE {SEGMENTS}"
@@ -146,11 +136,6 @@ def der_with_uem(spark, sf):
     return D.components(found, D.assignment(D.cooccurrence(found))).select("file_id", "total_ms", "missed_ms", "fa_ms")
 
 
-@query(f"{_SEG} SELECT DISTINCT file_id FROM seg WHERE side = 'ref' AND NOT EXISTS (SELECT 1 FROM seg h WHERE h.side = 'hyp' AND h.file_id = seg.file_id)")
-def skip_report(spark, sf):
-    return D.skipped(segments(spark, sf))
-
-
 _TURNS = """rf AS (SELECT * FROM seg WHERE side = 'ref'),
 g0 AS (SELECT *, max(end_ms) OVER (PARTITION BY file_id, speaker ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM rf),
 g1 AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_ms - reach > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY file_id, speaker ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS turn FROM g0),
@@ -245,20 +230,7 @@ def speech_coverage(spark, sf):
     return D.intersect_ms(seg.where("side = 'ref' and end_ms > start_ms"), seg.where("side = 'hyp' and end_ms > start_ms"))
 
 
-@query(f"{_ATOMS} SELECT {_CORPUS} AS corpus, count(*) AS n, CAST(sum(total_ms) AS BIGINT) AS total_ms FROM df GROUP BY 1")
-def result_document(spark, sf):
-    files = _corpora(_files(spark, sf))
-    doc = rttm.result_document(files.select("corpus", "file_id", "total_ms"), D.weighted(files, ["corpus"]))
-    return doc.select("corpus", F.size("files").cast("long").alias("n"), F.aggregate("files", F.lit(0).cast("long"), lambda s, x: s + x["total_ms"]).alias("total_ms"))
-
-
 @query(f"{_SEG} SELECT DISTINCT file_id, concat('https://example.org/audio/', file_id, '/mix.wav') AS url FROM seg WHERE file_id % 2 = 1")
 def pending_downloads(spark, sf):
     ids = segments(spark, sf).select("file_id").distinct()
-    return rttm.urls(rttm.only_new(ids, ids.where("file_id % 2 = 0"), "file_id"), "https://example.org/audio/{file_id}/mix.wav", "file_id")
-
-
-@query(f"{_SEG} SELECT conv_id AS file_id, min(turn) AS first_turn, count(*) AS n, CAST(max(turn) AS BIGINT) AS last_turn FROM conversations GROUP BY conv_id")
-def new_meetings(spark, sf):
-    c = spark.read.parquet(f"{sf}/conversations.parquet")
-    return c.groupBy(F.col("conv_id").alias("file_id")).agg(F.min("turn").alias("first_turn"), F.count("*").alias("n"), F.max("turn").alias("last_turn"))
+    return corpora.expand(rttm.only_new(ids, ids.where("file_id % 2 = 0"), "file_id"), "https://example.org/audio/{file_id}/mix.wav", "file_id")

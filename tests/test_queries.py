@@ -24,16 +24,16 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 20
 
 
-def test_every_vector_is_searched_in_the_whole_queries(spark):
-    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
-    for name in ("knn_topk_all", "maxpool_rank_all"):
-        assert catalog.QUERIES[name](spark, SF).select("query_id").distinct().count() == n
+def test_searches_ask_with_every_fiftieth_id(spark):
+    ids = {r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()}
+    for name in ("knn_topk", "maxpool_rank", "hybrid_rank"):
+        assert {r.query_id for r in catalog.QUERIES[name](spark, SF).select("query_id").distinct().collect()} == ids
 
 
-def test_every_print_is_tried_in_the_whole_queries(spark):
+def test_every_print_is_tried(spark):
     n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
-    assert catalog.QUERIES["identify_open_set_all"](spark, SF).count() == n // 2
-    assert catalog.QUERIES["raised_bars_all"](spark, SF).count() == n
+    assert catalog.QUERIES["identify_open_set"](spark, SF).count() == n // 2
+    assert catalog.QUERIES["raised_bars"](spark, SF).count() == n
 
 
 def test_word_distance_of_all_turns_equals_brute_force(spark):
@@ -48,9 +48,9 @@ def test_word_distance_of_all_turns_equals_brute_force(spark):
         return row[-1]
 
     want = {r.pair_id: (len(r.ref_tokens), distance(r.ref_tokens, r.hyp_tokens)) for r in fixtures.tokens(spark, SF).collect()}
-    got = {r.pair_id: (r.n_ref, r.distance) for r in catalog.QUERIES["wer_distance_all"](spark, SF).collect()}
-    assert got == want and len(got) > catalog.QUERIES["wer_distance"](spark, SF).count()
+    got = {r.pair_id: (r.n_ref, r.distance) for r in catalog.QUERIES["wer_distance"](spark, SF).collect()}
+    assert got == want and len(got) == spark.read.parquet(f"{SF}/conversations.parquet").count()
 
 
-def test_every_event_has_a_clock_in_the_whole_query(spark):
-    assert catalog.QUERIES["local_clock_all"](spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+def test_every_band_of_deletion_runs_occurs(spark):
+    assert {r.band for r in catalog.QUERIES["deletion_run_bands"](spark, SF).collect()} == {"1", "2-4", "5-9", "10+"}
