@@ -54,3 +54,11 @@ def test_word_distance_of_all_turns_equals_brute_force(spark):
 
 def test_every_band_of_deletion_runs_occurs(spark):
     assert {r.band for r in catalog.QUERIES["deletion_run_bands"](spark, SF).collect()} == {"1", "2-4", "5-9", "10+"}
+
+
+def test_everything_imports_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True)
