@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import backoff, decontaminate, html_extract, line_dedup, media, mixing, near_dedup, quality, sharding, url_filter
 
 SHARD_BYTES = 32 << 20
+#: The query's limit: small enough that tables of a few megabytes split several levels deep.
+SMALL_SHARD_BYTES = 64 << 10
 
 #: Rules that the url query is asked for: host, path, verdict.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -61,7 +63,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(_read(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES).drop("text")
+    return sharding.shard(_read(spark, sf_dir, "documents").select("doc_id", "text"), SMALL_SHARD_BYTES).drop("text")
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +116,7 @@ FROM m GROUP BY doc_id
 """
 
 
-def op7_sql(limit: int = SHARD_BYTES) -> str:
+def op7_sql(limit: int = SMALL_SHARD_BYTES) -> str:
     return f"""
 WITH d AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15) AS BIGINT) AS h, coalesce(strlen(text), 0) AS b FROM documents),
 p AS (SELECT DISTINCT h, CAST(t.depth AS INTEGER) AS depth, h >> (60 - t.depth) AS prefix FROM d, range(61) AS t(depth)),
