@@ -4,8 +4,7 @@
 SHA-256 digests (``media:<hex>``) with their captions. ``resolve`` looks the digests up in a media table by an equi-join
 of narrow rows (digest, document, position), so a payload is read once per copy stored and never multiplied by its
 references; positions and captions stay aligned because they travel in the struct. ``assemble`` puts what was found back
-into the arrays. Digests with more than ``HOT_REFS`` references are met by a broadcast of their few media rows (at most
-one for each so many references), so that no task gets all references to one picture.
+into the arrays. No task gets all references to one picture (``join_hot``).
 
 Payloads are stored losslessly as 8-bit grey PNG, 576 samples a row: ``pad`` appends bytes 255 up to a positive multiple
 of 576. ``store`` writes the table map-side into the shared folder and reads it back.
@@ -30,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scratch
 from .scratch import Scratch
 
 ROW = 576
-HOT_REFS = 100_000
 KNOWN = 1 << 16
 _PNG = b"\x89PNG\r\n\x1a\n"
 
@@ -219,12 +218,8 @@ def sequences(pages: DataFrame) -> DataFrame:
 
 
 def _look_up(refs: DataFrame, media: DataFrame) -> DataFrame:
-    hot = refs.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > HOT_REFS).select("digest")
-    if not hot.head(1):
-        return refs.join(media, "digest", "left")
-    hot = F.broadcast(hot)  # at most one row for each HOT_REFS references
-    few = F.broadcast(media.join(hot, "digest", "left_semi"))
-    return refs.join(hot, "digest", "left_anti").join(media, "digest", "left").unionByName(refs.join(hot, "digest", "left_semi").join(few, "digest", "left"))
+    hot = refs.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > scratch.HOT_ROWS)
+    return scratch.join_hot(refs, media, ["digest"], hot)
 
 
 def _refs(seqs: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of one key from which its join is a broadcast of its few rows on the other side.
+HOT_ROWS = 100_000
+
 #: Stands for a null id inside the operators: smaller than every id in use, and given back as null.
 NULL_ID = -(2**63)
 
@@ -65,3 +68,16 @@ def without(docs: DataFrame, ids: DataFrame, null_too: bool = False) -> DataFram
     """
     key = docs["doc_id"].cast("long")
     return docs.join(ids, (F.coalesce(key, F.lit(NULL_ID)) if null_too else key) == ids[ids.columns[0]], "left_anti")
+
+
+def join_hot(rows: DataFrame, few: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+    """``rows`` left-joined with ``few``, which has at most one row for each key, so that no task gets all rows of a hot key.
+
+    ``hot`` has the keys with more than ``HOT_ROWS`` rows: at most one for each so many, hence broadcast, as is their side
+    of ``few``. All other rows meet in a plain join. Keys are not null.
+    """
+    if not hot.head(1):
+        return rows.join(few, on, "left")
+    hot = F.broadcast(hot.select(*on))
+    rest = rows.join(hot, on, "left_anti").join(few, on, "left")
+    return rest.unionByName(rows.join(hot, on, "left_semi").join(F.broadcast(few.join(hot, on, "left_semi")), on, "left"))

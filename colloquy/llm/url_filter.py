@@ -5,7 +5,8 @@ path prefixes of the lengths that rules have; expressions meet rules by an equi-
 SHA-256, the full digest confirms, and the longest rule wins (of equally long ones that with the longer host, then
 block before allow).
 
-Only distinct urls are expanded, so a hot url costs one expansion. The rule table is broadcast only if its measured
+Only distinct urls are expanded, so a hot url costs one expansion, and its pages meet the verdict by a broadcast
+(``join_hot``). The rule table is broadcast only if its measured
 size is at most ``BROADCAST_RULES`` rows; a larger one is shuffled on the digest prefix.
 
 Nulls: a null url, or one without ``://``, has empty host and path and fits no rule. Empty labels are kept as they are.
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import HOT_ROWS, join_hot
+
 BROADCAST_RULES = 100_000
 PREFIX = 8
 
@@ -47,7 +50,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     small = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
 
     pages = with_host_path(pages.select("page_id", F.col("url").cast("string").alias("url")))
-    urls = pages.where("host <> '' or path <> ''").select("host", "path").distinct()
+    every = pages.groupBy("host", "path").agg(F.count("*").alias("n"))
+    urls = every.where("host <> '' or path <> ''").select("host", "path")
     labels = F.split("host", "\\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     fit = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
@@ -60,9 +64,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     table = F.broadcast(keyed) if small else keyed
     hits = expressions.join(table, F.col("e_prefix") == F.col("r_prefix")).where("e_digest = r_digest")
     rank = F.struct(F.length("r_host") + F.length("r_path"), F.length("r_host"), (F.col("r_verdict") == "block").cast("int"), "r_host", "r_path", "r_verdict")
-    best = hits.groupBy("host", "path").agg(F.max(rank).alias("w")).select(
-        F.col("host").alias("b_host"), F.col("path").alias("b_path"), F.concat("w.r_host", "w.r_path").alias("rule"), F.col("w.r_verdict").alias("judged")
-    )
-    return pages.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("judged", F.lit(default)).alias("verdict")
-    )
+    best = hits.groupBy("host", "path").agg(F.max(rank).alias("w")).select("host", "path", F.concat("w.r_host", "w.r_path").alias("rule"), F.col("w.r_verdict").alias("judged"))
+    judged = join_hot(pages.select("page_id", "host", "path"), best, ["host", "path"], every.where(F.col("n") > HOT_ROWS))
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("judged", F.lit(default)).alias("verdict"))

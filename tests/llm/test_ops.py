@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.llm import backoff, components, decontaminate, html_extract, line_dedup, media, mixing, near_dedup, quality, queries, sharding, url_filter
+from colloquy.llm import backoff, components, decontaminate, html_extract, line_dedup, media, mixing, near_dedup, quality, queries, scratch, sharding, url_filter
 from colloquy.llm.scratch import Scratch
 from tests.oracle import connect, same
 
@@ -376,7 +376,7 @@ def test_sequences_of_pages_are_put_back_with_their_media(spark, monkeypatch):
     docs = spark.createDataFrame([(1, html), (1, html), (None, f'<img src="media:{a}">'), (2, None)], "page_id long, html string")
     want = [(0, "text", "one", None, None), (1, "media", None, "A", a), (2, "text", "two", None, None), (3, "media", None, "B", b), (4, "media", None, None, None), (5, "text", "three", None, None)]
     for hot in (1, 100_000):
-        monkeypatch.setattr(media, "HOT_REFS", hot)
+        monkeypatch.setattr(scratch, "HOT_ROWS", hot)
         got = media.assemble(media.sequences(docs), found).collect()
         items = [[(i.position, i.kind, i.text, i.caption, i.media and i.media.payload_sha256) for i in r["items"]] for r in sorted(got, key=lambda r: (r.page_id or 0, len(r["items"])))]
         assert items == [[(0, "media", None, None, a)], want, want, []]
@@ -533,6 +533,13 @@ def test_url_edges(spark):
     assert got == [(None, "allow")] * 4 + [("example.com/en/7", "allow"), ("com/en/", "block"), (None, "allow"), (None, "allow"), ("example.net/de/8", "block"), (None, "allow"), ("org/es/", "block")]
 
 
+@pytest.mark.parametrize("name", ["op9_url_filter", "op10_near_dedup"])
+def test_hot_keys_meet_by_broadcast(spark, monkeypatch, name):
+    for module in (near_dedup, url_filter):
+        monkeypatch.setattr(module, "HOT_ROWS", 1)
+    same(queries.QUERIES[name](spark, SF).toPandas(), connect(SF).sql(queries.ORACLE[name]).df())
+
+
 def test_pipeline_keeps_clean_documents_and_repeats_what_the_mix_takes_twice(spark):
     import corpus_pipeline
 
