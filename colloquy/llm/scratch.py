@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.sources.shared import fresh
+
 #: Rows of one key from which its join is a broadcast of its few rows on the other side.
 HOT_ROWS = 100_000
 
@@ -15,17 +17,18 @@ HOT_ROWS = 100_000
 NULL_ID = -(2**63)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset and all run on one machine."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        if not (spark.conf.get("spark.master", None) or "").startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="colloquy-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+_made: list[str] = []
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what scratch tables were begun inside; their results must be written by then."""
+    before = len(_made)
+    yield
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while len(_made) > before:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 class Scratch:
@@ -33,8 +36,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = fresh(spark, name)
         self.n = 0
+        _made.append(self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Writes ``df`` and returns the table read back."""
