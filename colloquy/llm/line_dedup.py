@@ -106,11 +106,34 @@ def _stream(min_docs: int, held: int = HELD):
     return run
 
 
-def _bitmaps(table: pa.Table) -> pa.Table:
-    places = np.unique(np.concatenate([np.frombuffer(a.as_py(), "<i4") for a in table.column("at")]))
-    bits = np.zeros(int(places[-1]) + 1, dtype=np.uint8)
-    bits[places] = 1
-    return pa.table({"doc": table.column("doc")[:1], "txt": table.column("txt")[:1], "dropped": pa.array([zlib.compress(np.packbits(bits).tobytes(), 6)], pa.binary())})
+_BITMAPS = pa.schema([("doc", pa.int64()), ("txt", pa.int64()), ("dropped", pa.binary())])
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in the order of document and text, one bitmap for each text."""
+    now, bits, out = None, np.zeros(0, np.uint8), []
+
+    def made() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) or [[]] * 3
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BITMAPS, strict=True)], schema=_BITMAPS)
+
+    def end() -> None:
+        if now is not None:
+            out.append((*now, zlib.compress(np.packbits(bits).tobytes(), 6)))
+
+    for batch in batches:
+        for d, t, a in zip(*(batch.column(c).to_pylist() for c in ("doc", "txt", "at")), strict=True):
+            places = np.frombuffer(a, "<i4")
+            if (d, t) != now:
+                end()
+                now, bits = (d, t), np.zeros(0, np.uint8)
+            if places[-1] >= len(bits):
+                bits = np.concatenate([bits, np.zeros(max(len(bits), int(places[-1]) + 1 - len(bits)), np.uint8)])
+            bits[places] = 1
+        yield made()
+    end()
+    yield made()
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -128,7 +151,7 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     ends = settled.where("kind = 2").groupBy("key").agg(F.sum("n").alias("docs"), F.max("doc").alias("last")).where(F.col("docs") >= min_docs)
     fall = settled.where("kind = 1").select("key", "doc", "txt", "at").join(ends, "key").where(F.col("doc") != F.col("last"))
     dropped = settled.where("kind = 0").select("doc", "txt", "at").unionByName(fall.select("doc", "txt", "at"))
-    return dropped.groupBy("doc", "txt").applyInArrow(_bitmaps, "doc long, txt long, dropped binary")
+    return dropped.repartition(width, "doc", "txt").sortWithinPartitions("doc", "txt").mapInArrow(_bitmaps, "doc long, txt long, dropped binary")
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
