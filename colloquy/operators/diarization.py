@@ -128,9 +128,9 @@ def rates(parts: DataFrame) -> DataFrame:
 def _file_parts(pdf: pd.DataFrame) -> pd.DataFrame:
     whole = pdf[pdf["ref"].isna()]
     pairs = pdf[pdf["ref"].notna()]
-    right = int(_assign(pairs)["ms"].sum()) if len(pairs) else 0
+    right = int(_assign(pairs.rename(columns={"key": "file_id"}))["ms"].sum()) if len(pairs) else 0
     total, missed, fa, both = (int(whole[c].sum()) for c in ("total", "missed", "fa", "both"))
-    return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]], "total_ms": [total], "missed_ms": [missed], "fa_ms": [fa], "confusion_ms": [both - right]})
+    return pd.DataFrame({"key": [pdf["key"].iloc[0]], "total_ms": [total], "missed_ms": [missed], "fa_ms": [fa], "confusion_ms": [both - right]})
 
 
 def parts(found: DataFrame) -> DataFrame:
@@ -140,8 +140,11 @@ def parts(found: DataFrame) -> DataFrame:
     none = F.array(F.struct(F.lit(None).cast("string").alias("ref"), F.lit(None).cast("string").alias("hyp")))
     rows = found.select("file_id", d.alias("ms"), (d * r).alias("total"), (d * F.greatest(F.lit(0), r - h)).alias("missed"), (d * F.greatest(F.lit(0), h - r)).alias("fa"), (d * F.least(r, h)).alias("both"), F.explode(F.concat(none, pairs)).alias("p"))
     sums = rows.groupBy("file_id", "p.ref", "p.hyp").agg(*[F.sum(c).alias(c) for c in ("ms", "total", "missed", "fa", "both")])
-    kind = dict(sums.dtypes)["file_id"]
-    return sums.groupBy("file_id").applyInPandas(_file_parts, f"file_id {kind}, total_ms long, missed_ms long, fa_ms long, confusion_ms long")
+    # the id stays outside Python, so that it may be a struct
+    keyed = sums.withColumn("key", F.to_json(F.struct("file_id")))
+    ids = keyed.groupBy("key").agg(F.first("file_id").alias("file_id"))
+    done = keyed.select("key", "ref", "hyp", "ms", "total", "missed", "fa", "both").groupBy("key").applyInPandas(_file_parts, "key string, total_ms long, missed_ms long, fa_ms long, confusion_ms long")
+    return done.join(ids, "key").drop("key")
 
 
 def der_by_file(segments: DataFrame, half_collar_ms: int = HALF_COLLAR_MS, uem: DataFrame | None = None, dedupe_identical_spans: bool = False, order: str = "line") -> DataFrame:

@@ -83,6 +83,13 @@ def read_corpora(spark: SparkSession, root: str, kind: str = "rttm") -> DataFram
     return (parse_rttm(keyed) if kind == "rttm" else parse_uem(keyed)).select("file_id.corpus", F.col("file_id.stem").alias("file_id"), *[c for c in ("speaker", "start_ms", "end_ms") if kind == "rttm" or c != "speaker"])
 
 
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether anything has a path of this pattern."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
 def read_baseline(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     """Segments of a flat ``<root>/rttm`` folder, restricted to ``files`` (corpus, file_id), which name their corpus."""
     return read_rttm(spark, f"{root}/rttm").join(files.select("corpus", "file_id").distinct(), "file_id").select("corpus", "file_id", "speaker", "start_ms", "end_ms")

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from colloquy import score
 from colloquy.functions import scalars as S
 from colloquy.operators import diarization as D
 from colloquy.operators import evaluation as E
@@ -126,6 +127,31 @@ def test_report_is_one_file(spark, tmp_path):
         assert ("Baseline comparison" in text) == (name == "base")
 
 
+def test_score_of_folders(spark, tmp_path):
+    def put(path, *rows):
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("".join(f"SPEAKER x 1 {a:.3f} {b - a:.3f} <NA> <NA> {s} <NA> <NA>\n" for s, a, b in rows))
+
+    for corpus in ("one", "two"):  # the same name in both
+        put(tmp_path / "data" / corpus / "rttm" / "m.rttm", ("a", 0, 10), ("b", 10, 20))
+    put(tmp_path / "data" / "one" / "rttm" / "only-ref.rttm", ("a", 0, 10))
+    put(tmp_path / "out" / "one" / "rttm" / "m.rttm", ("x", 0, 10), ("y", 10, 20))
+    put(tmp_path / "out" / "two" / "rttm" / "m.rttm", ("x", 0, 20))
+    put(tmp_path / "base" / "rttm" / "m.rttm", ("x", 0, 5))
+    (tmp_path / "data" / "two" / "uem").mkdir()
+    (tmp_path / "data" / "two" / "uem" / "m.uem").write_text("m 1 0.0 15.0\n\n")
+    url = f"file://{tmp_path}"
+    files = {(r.corpus, r.file_id): r for r in score.score(spark, f"{url}/data", f"{url}/out", f"{url}/results", collar=0.5, baseline_dir=f"{url}/base").collect()}
+    assert set(files) == {("one", "m"), ("two", "m")}
+    one, two = files["one", "m"], files["two", "m"]
+    assert (one.total_ms, one.der) == (19_000, 0.0) and (two.total_ms, two.confusion_ms) == (14_250, 4_750)
+    (part,) = (tmp_path / "results" / "report").glob("part-*")
+    assert "| two | 1 | 33.3% | 33.3% | 0.0% | 0.0% |" in part.read_text()
+    back = rttm.read_documents(spark, f"{url}/results/results", multi_line=False).collect()
+    assert {r.corpus: [f.file_id for f in r.files] for r in back} == {"one": ["m"], "two": ["m"]}
+    assert score.score(spark, f"{url}/data", f"{url}/out", f"{url}/results", corpus="one").count() == 1
+
+
 def test_missing_stores_and_unknown_corpora(spark, tmp_path):
     assert rttm.store_ids(spark, f"file://{tmp_path}/none").count() == 0
     assert corpora.catalog(spark, "ami").count() == 16 and corpora.catalog(spark).count() == 27
