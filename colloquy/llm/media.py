@@ -229,7 +229,7 @@ def _refs(seqs: DataFrame, key: str) -> DataFrame:
 def resolve(seqs: DataFrame, media: DataFrame) -> DataFrame:
     """``page_id, position, caption, digest`` and the other columns of ``media`` (one row for each digest) of each media
     reference; null where it is unknown."""
-    return _look_up(_refs(seqs, "page_id"), media)
+    return _look_up(Scratch(seqs.sparkSession, "refs").save(_refs(seqs, "page_id")), media)
 
 
 def assemble(seqs: DataFrame, media: DataFrame) -> DataFrame:
