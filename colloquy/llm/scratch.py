@@ -65,13 +65,14 @@ def id_out(column) -> Column:
     return F.nullif(column, F.lit(NULL_ID))
 
 
-def without(docs: DataFrame, ids: DataFrame, null_too: bool = False) -> DataFrame:
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns whatever their names, whose doc_id is not in the one column of ``ids``.
 
-    A null doc_id stays, or with ``null_too`` it is the id ``NULL_ID``.
+    Null ids stay; they are dealt by their text, so that no task gets them all.
     """
     key = docs["doc_id"].cast("long")
-    return docs.join(ids, (F.coalesce(key, F.lit(NULL_ID)) if null_too else key) == ids[ids.columns[0]], "left_anti")
+    dealt = F.coalesce(key, F.xxhash64(docs["text"].cast("string")))
+    return docs.join(ids, (dealt == ids[ids.columns[0]]) & key.isNotNull(), "left_anti")
 
 
 def join_hot(rows: DataFrame, few: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:

@@ -69,6 +69,16 @@ def test_near_duplicates_of_odd_documents(spark):
     assert got[6][0][1:] == (6, True) and got[7][0][1:] == (6, False)
 
 
+def test_near_duplicates_with_null_ids(spark):
+    """All texts without an id are the smallest document's: what is near one of them falls to it."""
+    base = [" ".join(f"f{f}w{i}" for i in range(60)) for f in range(6)]
+    rows = [(None, t) for t in base[:4]] + [(None, base[0])] * 3 + [(7, base[1] + " more"), (8, base[4]), (9, base[4] + " more"), (10, base[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.lit("x"))
+    got = [(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()]
+    assert sorted(got, key=str) == sorted([(None, None, True)] * 7 + [(7, None, False), (8, 8, True), (9, 8, False), (10, 10, True)], key=str)
+    assert near_dedup.keep_first(docs).count() == 9
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 1), (5, 4), (6, 6), (None, 7), (8, 9), (9, 10), (10, 11), (11, 12)]
     found = components.connected_components(spark.createDataFrame(links, "a int, b int"), Scratch(spark, "t")).collect()
