@@ -134,17 +134,20 @@ def _file_parts(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def parts(found: DataFrame) -> DataFrame:
-    """What ``components`` of the best matching gives, in one pass over the atoms: a file's label pairs and its sums meet in one group."""
+    """What ``components`` of the best matching gives, by ``key`` (the id as JSON), in one pass over the atoms: a file's label
+    pairs and its sums meet in one group."""
     d, r, h = F.col("end_ms") - F.col("start_ms"), F.size("ref"), F.size("hyp")
     pairs = F.flatten(F.transform("ref", lambda x: F.transform("hyp", lambda y: F.struct(x.alias("ref"), y.alias("hyp")))))
     none = F.array(F.struct(F.lit(None).cast("string").alias("ref"), F.lit(None).cast("string").alias("hyp")))
     rows = found.select("file_id", d.alias("ms"), (d * r).alias("total"), (d * F.greatest(F.lit(0), r - h)).alias("missed"), (d * F.greatest(F.lit(0), h - r)).alias("fa"), (d * F.least(r, h)).alias("both"), F.explode(F.concat(none, pairs)).alias("p"))
     sums = rows.groupBy("file_id", "p.ref", "p.hyp").agg(*[F.sum(c).alias(c) for c in ("ms", "total", "missed", "fa", "both")])
-    # the id stays outside Python, so that it may be a struct
-    keyed = sums.withColumn("key", F.to_json(F.struct("file_id")))
-    ids = keyed.groupBy("key").agg(F.first("file_id").alias("file_id"))
-    done = keyed.select("key", "ref", "hyp", "ms", "total", "missed", "fa", "both").groupBy("key").applyInPandas(_file_parts, "key string, total_ms long, missed_ms long, fa_ms long, confusion_ms long")
-    return done.join(ids, "key").drop("key")
+    keyed = sums.select(_key(), "ref", "hyp", "ms", "total", "missed", "fa", "both")
+    return keyed.groupBy("key").applyInPandas(_file_parts, "key string, total_ms long, missed_ms long, fa_ms long, confusion_ms long")
+
+
+def _key():
+    """A file's id as text, whatever its type, for Python groups."""
+    return F.to_json(F.struct("file_id")).alias("key")
 
 
 def der_by_file(segments: DataFrame, half_collar_ms: int = HALF_COLLAR_MS, uem: DataFrame | None = None, dedupe_identical_spans: bool = False, order: str = "line") -> DataFrame:
@@ -157,7 +160,7 @@ def der_by_file(segments: DataFrame, half_collar_ms: int = HALF_COLLAR_MS, uem:
     speakers = lambda side: F.size(F.collect_set(F.when(F.col("side") == side, F.col("speaker")))).cast("long")
     both = segments.groupBy("file_id").agg(speakers("ref").alias("n_ref_speakers"), speakers("hyp").alias("n_hyp_speakers"))
     scored = both.where("n_ref_speakers > 0 and n_hyp_speakers > 0")
-    done = scored.join(parts(atoms(segments, half_collar_ms, uem)), "file_id", "left")
+    done = scored.withColumn("key", _key()).join(parts(atoms(segments, half_collar_ms, uem)), "key", "left").drop("key")
     return rates(done.na.fill(0, ["total_ms", "missed_ms", "fa_ms", "confusion_ms"]))
 
 
