@@ -20,10 +20,6 @@ def speaker_label(name) -> Column:
     return F.translate(_c(name), " ()", "_")
 
 
-def duration(start, end, least: float = 0.001) -> Column:
-    return F.greatest(_c(end) - _c(start), F.lit(least))
-
-
 def fixed3(ms) -> Column:
     """Whole milliseconds as seconds with three decimals, without a float in between."""
     ms = _c(ms)
