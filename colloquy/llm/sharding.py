@@ -72,7 +72,7 @@ def shard(docs: DataFrame, limit: int, id_column: str = "doc_id", text_column: s
     own = {c: f"_{k}" for k, c in enumerate(names)}
     docs = docs.select(*names).toDF(*own.values())
     text_column = own[text_column]
-    sized = docs.withColumns({"__h": _hash(own[id_column], text_column), "__bytes": F.coalesce(F.octet_length(F.col(text_column).cast("string")), F.lit(0)).cast("long")})
+    sized = docs.withColumns({"__h": _hash(own[id_column], text_column), "__bytes": F.coalesce(F.octet_length(F.col(text_column).cast("string")), F.lit(0)).cast("long"), "__tie": F.xxhash64(F.col(text_column).cast("string"))})
     out = sized.withColumns({"shard_depth": F.lit(None).cast("int"), "shard_prefix": F.lit(None).cast("long"), "shard_bytes": F.lit(None).cast("long"), "shard_docs": F.lit(None).cast("long")})
     stuck = False
     for top, cells in directory(sized, limit, scratch):
@@ -89,7 +89,7 @@ def shard(docs: DataFrame, limit: int, id_column: str = "doc_id", text_column: s
     if stuck:
         over = (F.col("shard_depth") == HASH_BITS) & (F.col("shard_bytes") > limit)
         tail = out.where(over).withColumn("__small", F.col("__bytes") * 2 <= limit)
-        w = Window.partitionBy("shard_prefix", "__small").orderBy("__bytes", F.xxhash64(F.col(text_column).cast("string"))).rowsBetween(Window.unboundedPreceding, -1)
+        w = Window.partitionBy("shard_prefix", "__small").orderBy("__bytes", "__tie").rowsBetween(Window.unboundedPreceding, -1)
         tail = tail.withColumn("__page", F.when(F.col("__small"), F.floor(F.coalesce(F.sum("__bytes").over(w), F.lit(0)) * 2 / limit)).otherwise(F.count("*").over(w)).cast("long"))
         pages = tail.where("__small").groupBy("shard_prefix").agg((F.max("__page") + 1).alias("__before"))
         tail = tail.join(pages, "shard_prefix", "left").withColumn("shard_page", F.col("__page") + F.when(F.col("__small"), 0).otherwise(F.coalesce("__before", F.lit(0))))
