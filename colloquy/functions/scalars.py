@@ -172,9 +172,9 @@ def run_date() -> Column:
 
 
 def percent_text(x) -> Column:
-    """One decimal, or a dash where there is nothing."""
+    """One decimal of the double's exact value, ties to even as in C's printf (Java's rounds its shortest decimal text half up); a dash where there is nothing."""
     x = _c(x).cast("double")
-    return F.when(x.isNull(), "—").otherwise(F.format_string("%.1f%%", x * 100))
+    return F.when(x.isNull(), "—").otherwise(F.concat(F.call_function("format_number", x * 100, F.lit("0.0")), F.lit("%")))
 
 
 def local_clock(ts, tz) -> Column:

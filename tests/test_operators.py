@@ -313,3 +313,9 @@ def test_state_goes_after_its_time(spark, tmp_path):
         put(*rows)
         out = commits.run_once(commits.changes(commits.read_log(spark, f"file://{tmp_path}/in", LOG), keep=3600), f"file://{tmp_path}/c").collect()
     assert {(r.token, r.n) for r in out} == {(2, 1)} or {(r.token, r.n) for r in out} == set()  # token 1 begins anew
+
+
+def test_percentages_are_rounded_from_their_exact_value(spark):
+    shares = [0.1225, 0.1325, 0.0625, 0.1235, 0.0025, 0.0075, 0.0, 1.0, 12.34567, 0.9995, 1 / 3, *(i / 800 for i in range(800)), *(i / 2000 for i in range(0, 6000, 7))]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(shares)], "i int, x double").select("i", S.percent_text("x").alias("p")).collect()
+    assert {r.i: r.p for r in got} == {i: f"{x * 100:.1f}%" for i, x in enumerate(shares)}
