@@ -211,4 +211,4 @@ def uncovered_goals(spark, sf):
     """Goals are the first words of a conversation's first turn; later turns cover them or not."""
     c = X.table(spark, sf, "conversations")
     goals = c.where("turn = 0").select("conv_id", F.explode(F.slice(F.split("text", " "), 1, 6)).alias("goal")).select("conv_id", F.lower("goal").alias("goal")).distinct()
-    return E.uncovered(goals, c.where("turn > 0"), "conv_id", "text")
+    return E.uncovered(goals, c.where("turn > 0"), "conv_id", "text", "turn")

@@ -319,3 +319,16 @@ def test_percentages_are_rounded_from_their_exact_value(spark):
     shares = [0.1225, 0.1325, 0.0625, 0.1235, 0.0025, 0.0075, 0.0, 1.0, 12.34567, 0.9995, 1 / 3, *(i / 800 for i in range(800)), *(i / 2000 for i in range(0, 6000, 7))]
     got = spark.createDataFrame([(i, x) for i, x in enumerate(shares)], "i int, x double").select("i", S.percent_text("x").alias("p")).collect()
     assert {r.i: r.p for r in got} == {i: f"{x * 100:.1f}%" for i, x in enumerate(shares)}
+
+
+def test_uncovered_goals_equal_a_search_in_the_whole_text(spark):
+    rng = random.Random(3)
+    said = [(k, n, None if rng.random() < 0.1 else "".join(rng.choice(["a", "B", "\n", " "]) for _ in range(rng.randrange(4)))) for k in range(40) for n in range(6)]
+    said += [(100, 2, "x. an"), (100, 1, "the was."), (100, 3, None), (100, 4, "end"), (100, 5, "")]
+    wanted = {(k, "".join(rng.choice(["A", "b", "\n"]) for _ in range(rng.randrange(1, 5)))) for k in range(42) for _ in range(12)}
+    wanted |= {(100, g) for g in ("was.\nx.", "An\nend", "was.\nx. an\nend\n", "was.\nend", "\n", "\n\n", "end\nx")} | {(None, "a")}
+    text = {k: "\n".join(t.lower() for _, _, t in sorted((x for x in said if x[0] == k), key=lambda x: x[1]) if t is not None) for k in {x[0] for x in said}}
+    out = E.uncovered(spark.createDataFrame(sorted(wanted, key=str), "k long, goal string"), spark.createDataFrame(rng.sample(said, len(said)), "k long, n long, t string"), "k", "t", "n").collect()
+    want = {(k, g) for k, g in wanted if g.lower() not in text.get(k, "")}
+    assert {(r.k, r.goal) for r in out} == want and len(out) == len(want)
+    assert {g for k, g in want if k == 100} == {"was.\nend", "\n\n", "end\nx"}
