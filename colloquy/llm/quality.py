@@ -1,11 +1,9 @@
 """Quality classifier: interpolated modified Kneser-Ney trigram perplexity with language-specific quantile thresholds.
 
 Training. Trusted documents are those whose labels all say quality 1 and none toxic. In a seeded hash order one half is for
-training, the other only for calibration; of the training half at most ``TRAIN_DOCS`` documents and ``TRAIN_BYTES`` of
-text are used, whole documents only. Each language has the same share of both, and what it does not need goes to the
-others. A document longer than the whole share is left out, and one longer than ``LONG`` of it comes after all shorter ones,
-so that no document uses up a sample. That sample is the documented bound of the model: it has at most one entry for each
-order and training word. N-gram counts, continuation counts, counts of counts and the discounts of each order are
+training, the other only for calibration. The model is counted on every document of the training half, whole. Only a caller
+that asks for it (``train_docs``, ``train_bytes``) gets a model of a bounded sample, whole documents in equal shares by
+language; no query does. N-gram counts, continuation counts, counts of counts and the discounts of each order are
 DataFrame aggregations, and the probabilities equi-joins of the hash-partitioned count tables, by n-gram hash.
 
 Scoring. The log-probability of a word is a sum over its n-grams, each adding what it knows beyond the shorter ones and
@@ -14,8 +12,8 @@ order below, d2 and d3 the log-ratios of a known n-gram's interpolated probabili
 document's perplexity is a join of its n-grams with one table of values by hash, summed. Documents are exploded by block
 to (n-gram, document, count) in sorted runs, cut by hash into shards, and meet the shard of the table that has their hash
 range in one task; sums go back to the block. Values are whole multiples of 2**-30, so sums don't depend on their order.
-Before they are shuffled, n-grams pass a Bloom filter of the table's keys (``FILTER_BITS`` a key, hence bounded by the
-sample): what it rejects has no value, what it lets through by mistake meets none in the shard.
+Before they are shuffled, n-grams pass a Bloom filter of the table's keys (``FILTER_BITS`` a key, at most ``FILTER_WORDS_LOG2``
+words, beyond which it only lets more through): what it rejects has no value, what it lets through meets none in the shard.
 
 Thresholds. Short documents vary more: the variance of the log-perplexity about its mean is fitted for each language as
 ``a + b / words``, by least squares over all calibration documents, and the threshold is the ``QUANTILE`` of their
@@ -45,8 +43,6 @@ from . import kernels as K
 from .scratch import Scratch, without
 
 SEED = 5
-TRAIN_DOCS = 20_000
-TRAIN_BYTES = 6 << 20
 LONG = 0.25
 CELLS_LOG2 = 10
 QUANTILE = 0.995
@@ -54,8 +50,9 @@ STEP = 1024
 UNIT = 1 << 30
 BLOCK_BYTES = 8 << 20
 SHARD_KEYS = 500_000
-PART_BYTES = 768 << 20
+PART_BYTES = 128 << 20
 FILTER_BITS = 16
+FILTER_WORDS_LOG2 = 22
 NO_LANGUAGE = "\x00"
 _BEGIN = np.uint64(0xC2B2AE3D27D4EB4F)
 _LAST = -0x61C8864680B583EB  # turns the key of an n-gram into that of its being a document's last
@@ -177,7 +174,7 @@ class Filter:
     """A Bloom filter in words of 64 bits, four bits of one word for each key."""
 
     def __init__(self, keys: DataFrame, n_keys: int):
-        self.bits = max(6, (max(1, n_keys) * FILTER_BITS // 64).bit_length())
+        self.bits = min(FILTER_WORDS_LOG2, max(6, (max(1, n_keys) * FILTER_BITS // 64).bit_length()))
         bit = F.lit(0).cast("long")
         for k in range(4):
             bit = bit.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftright", F.col("key"), F.lit(6 * k)).bitwiseAND(F.lit(63)).cast("int")))
@@ -215,9 +212,14 @@ def share_of(sizes: list[int], bound: int) -> int:
     return bound
 
 
-def _fit(trusted: DataFrame, train_docs: int, train_bytes: int) -> DataFrame:
-    """``t_id, lang, bytes`` of the sample, of the training rows of ``trusted`` (t_id, turn, lang, bytes)."""
-    every = trusted.where((F.pmod("turn", F.lit(2)) == 0) & (F.col("bytes") <= train_bytes)).withColumn("key", F.coalesce("lang", F.lit(NO_LANGUAGE)))
+def _fit(trusted: DataFrame, train_docs: int | None, train_bytes: int | None) -> DataFrame:
+    """``t_id, fit_lang, bytes`` of the training rows of ``trusted`` (t_id, turn, lang, bytes): all, or a sample where a bound is given."""
+    every = trusted.where(F.pmod("turn", F.lit(2)) == 0)
+    if train_docs is None and train_bytes is None:
+        return every.select("t_id", F.col("lang").alias("fit_lang"), "bytes")
+    most = every.agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).first()
+    train_docs, train_bytes = most["n"] if train_docs is None else train_docs, (most["b"] or 0) if train_bytes is None else train_bytes
+    every = every.where(F.col("bytes") <= train_bytes).withColumn("key", F.coalesce("lang", F.lit(NO_LANGUAGE)))
     sizes = every.groupBy("key").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).collect()  # one row for each language
     most_docs, most_bytes = share_of([r["n"] for r in sizes], train_docs), share_of([r["b"] for r in sizes], train_bytes)
     every = every.where(F.col("bytes") <= most_bytes).withColumn("long", (F.col("bytes") > LONG * most_bytes).cast("int"))
@@ -231,7 +233,7 @@ def _fit(trusted: DataFrame, train_docs: int, train_bytes: int) -> DataFrame:
     return run.where((F.col("k") <= most_docs) & (F.col("run") <= most_bytes)).select("t_id", F.col("lang").alias("fit_lang"), "bytes")
 
 
-def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, train_docs: int | None = None, train_bytes: int | None = None) -> tuple[Model, DataFrame]:
     """The model, and the ids (``t_id``) of the calibration documents."""
     good = labels.groupBy(F.col("doc_id").cast("long").alias("t_id")).agg(F.min((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(1)) == 0)).alias("ok")).where("ok and t_id is not null")
     turn = F.xxhash64("t_id", F.lit(SEED))
@@ -239,8 +241,8 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, train_docs: int
     texts = docs.select(F.col("doc_id").cast("long").alias("t_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
     trusted = texts.select("t_id", F.struct("lang", F.octet_length("text").cast("long").alias("bytes")).alias("x")).join(good, "t_id")
     trusted = scratch.save(trusted.groupBy("t_id", "turn").agg(F.min("x").alias("x")).select("t_id", "turn", "x.lang", "x.bytes"))
-    fit = scratch.save(_fit(trusted, train_docs, train_bytes))  # at most train_docs ids, hence broadcast
-    texts = texts.join(F.broadcast(fit), "t_id").where(F.col("lang").eqNullSafe(F.col("fit_lang")) & (F.octet_length("text") == F.col("bytes")))
+    fit = scratch.save(_fit(trusted, train_docs, train_bytes))
+    texts = texts.join(fit, "t_id").where(F.col("lang").eqNullSafe(F.col("fit_lang")) & (F.octet_length("text") == F.col("bytes")))
     sample = texts.dropDuplicates(["t_id"]).select("lang", "text")
     tri = scratch.save(training_counts(sample))
     entries, langs = value_table(tri, scratch)
@@ -358,7 +360,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     total = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    shards, parts = -(-max(1, model.n) // SHARD_KEYS), -(-max(1, total) // PART_BYTES)
+    shards = -(-max(1, model.n) // SHARD_KEYS)
+    parts = -(-max(1, total) // (PART_BYTES * shards))  # one, where the model grows with the documents
     held = spark.sparkContext.broadcast(model.filter)
     messages = rows.mapInArrow(_explode(held, shards, parts), _MESSAGE_SQL)
     # each part of the blocks meets its own copy of a shard, so that neither side of a group grows with the input
@@ -395,7 +398,7 @@ def thresholds(scored: DataFrame, calibration: DataFrame, quantile: float = QUAN
     return fit.join(bars, "t_lang")
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, train_docs: int | None = None, train_bytes: int | None = None) -> DataFrame:
     """``doc_id, lang, n_words, perplexity, threshold, kept`` for each row."""
     scratch = Scratch(docs.sparkSession, "quality")
     model, calibration = train(docs, labels, scratch, train_docs, train_bytes)
@@ -410,7 +413,7 @@ def _judged(scored: DataFrame, bars: DataFrame) -> DataFrame:
     return out.select("doc_id", "lang", "n_words", F.exp("log_ppl").alias("perplexity"), F.exp("limit").alias("threshold"), F.coalesce(F.col("log_ppl") <= F.col("limit"), F.lit(True)).alias("kept"))
 
 
-def accept(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
+def accept(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, train_docs: int | None = None, train_bytes: int | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, that the classifier keeps. Rejected ids are shuffled, not the bars' languages."""
     gone = judge(docs, labels, quantile, train_docs, train_bytes).where("not kept and doc_id is not null").select("doc_id").distinct()
     return without(docs, gone)

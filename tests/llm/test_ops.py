@@ -241,6 +241,16 @@ def test_every_trusted_language_has_its_share_of_the_sample(spark):
     assert {r.lang for r in few.langs.collect()} == {"en", "qq"}
 
 
+def test_every_trusted_document_of_the_training_half_is_counted(spark):
+    docs = spark.range(56).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.repeat(F.lit("the same few words "), 15_000), F.concat(F.lit("own"), "id")).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    model, calibration = quality.train(docs, labels, Scratch(spark, "t"))
+    held = {r.t_id for r in calibration.collect()}
+    assert (56 - len(held)) * 15_000 * 19 > 6 << 20  # beyond what a sample of six megabytes had
+    got = {r.doc_id: r.log_ppl for r in quality.score(docs.select("doc_id", "lang", F.concat(F.lit("own"), "doc_id").alias("text")), model).collect()}
+    assert max(x for i, x in got.items() if i not in held) < min(x for i, x in got.items() if i in held)
+
+
 def test_scores_are_those_of_any_blocks_shards_and_parts(spark, monkeypatch):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model, _ = quality.train(docs, labels, Scratch(spark, "t"))
