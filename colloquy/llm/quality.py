@@ -3,17 +3,24 @@
 Training. Trusted documents are those whose labels all say quality 1 and none toxic. In a seeded hash order one half is for
 training, the other only for calibration. The model is counted on every document of the training half, whole. Only a caller
 that asks for it (``train_docs``, ``train_bytes``) gets a model of a bounded sample, whole documents in equal shares by
-language; no query does. N-gram counts, continuation counts, counts of counts and the discounts of each order are
-DataFrame aggregations, and the probabilities equi-joins of the hash-partitioned count tables, by n-gram hash.
+language; no query does.
+
+Trigrams u v w go to shards by their middle word's hash. So a shard has whole what a model of order 3 counts but for single
+words: the trigrams, their histories u v, how many words u come before each v w, and what follows v. How many v come before
+each w is summed over the shards; the counts of counts of each order and language, and from them the discounts, are a few
+rows on the driver, and the shards are told the probabilities of the single words they ask for. What is kept is the packed
+trigrams of blocks of documents; whoever needs a shard counts it anew.
 
 Scoring. The log-probability of a word is a sum over its n-grams, each adding what it knows beyond the shorter ones and
 nothing if the model lacks it: ``log p1(w) + log g2(v) + d2(vw) + log g3(uv) + d3(uvw)``, g what a history leaves to the
-order below, d2 and d3 the log-ratios of a known n-gram's interpolated probability to what backing off would give. So a
-document's perplexity is a join of its n-grams with one table of values by hash, summed. Documents are exploded by block
-to (n-gram, document, count) in sorted runs, cut by hash into shards, and meet the shard of the table that has their hash
-range in one task; sums go back to the block. Values are whole multiples of 2**-30, so sums don't depend on their order.
-Before they are shuffled, n-grams pass a Bloom filter of the table's keys (``FILTER_BITS`` a key, at most ``FILTER_WORDS_LOG2``
-words, beyond which it only lets more through): what it rejects has no value, what it lets through meets none in the shard.
+order below, d2 and d3 the log-ratios of a known n-gram's interpolated probability to what backing off would give. All but
+the first are in the shard of v, and p1(w) in that of the next trigram (after a document's last word comes an end), so
+documents' trigrams meet the shards of the model in one join by shard; sums by document go back to their block. Values are
+whole multiples of 2**-30, so sums don't depend on their order. The documents are read ``PASSES`` times, each time for a part
+of the shards, so that the messages of all are not on disk together; a block is named by its content, and if it is another
+one in another pass, the job fails. Words pass a Bloom filter of the model's words first (``FILTER_BITS`` a word, at most
+``FILTER_WORDS_LOG2`` cells, beyond which it only lets more through): what it rejects is unknown, what it lets through by
+mistake is not found in the shard. Words are told apart by 48 bits of their hashes.
 
 Thresholds. Short documents vary more: the variance of the log-perplexity about its mean is fitted for each language as
 ``a + b / words``, by least squares over all calibration documents, and the threshold is the ``QUANTILE`` of their
@@ -30,13 +37,15 @@ tables give empty results.
 
 from __future__ import annotations
 
+import hashlib
 import warnings
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -49,13 +58,16 @@ QUANTILE = 0.995
 STEP = 1024
 UNIT = 1 << 30
 BLOCK_BYTES = 8 << 20
-SHARD_KEYS = 500_000
+SHARD_KEYS = 600_000
+WORD_BYTES = 6
 PART_BYTES = 128 << 20
+PASSES = 4
 FILTER_BITS = 16
 FILTER_WORDS_LOG2 = 22
 NO_LANGUAGE = "\x00"
 _BEGIN = np.uint64(0xC2B2AE3D27D4EB4F)
-_LAST = -0x61C8864680B583EB  # turns the key of an n-gram into that of its being a document's last
+_SPARE = np.uint64(16)
+_END, _UNKNOWN = np.uint64(0), np.uint64(1)  # what follows a document's last word; every word that no training document has
 
 
 def _lang_code(lang: str | None) -> np.uint64:
@@ -63,9 +75,9 @@ def _lang_code(lang: str | None) -> np.uint64:
     return K.words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0][0]
 
 
-def _slice_ngrams(raw: np.ndarray, offsets: np.ndarray, langs: list) -> tuple[np.ndarray, ...]:
-    """Of every word of a slice, in its language: the hashes of the word, the bigram and the trigram that end with it, the
-    bigram before it and the word before it; and the place of each document's first word."""
+def _occurrences(raw: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of documents in their languages (``codes``) as hashes of 48 bits, each document's after two marks; the places of
+    the words among them; and the place of each document's first word."""
     hs, ats = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
     for i, j in K.slices(offsets):  # what words need for each byte is held for a slice only
         h, at = K.words(raw, offsets[i : j + 1])
@@ -73,133 +85,223 @@ def _slice_ngrams(raw: np.ndarray, offsets: np.ndarray, langs: list) -> tuple[np
     h, at = np.concatenate(hs), np.concatenate(ats)
     del hs
     sizes = np.diff(at)
-    codes = np.array([_lang_code(x) for x in langs], dtype=np.uint64)
-    # two marks before each document
-    lead = np.arange(len(sizes)) * 2
     own = np.full(len(h) + 2 * len(sizes), _BEGIN, dtype=np.uint64)
-    place = np.arange(len(h)) + np.repeat(lead, sizes) + 2
+    place = np.arange(len(h)) + np.repeat(np.arange(len(sizes)) * 2, sizes) + 2
     own[place] = h
-    own = K.mix(own ^ np.repeat(codes, sizes + 2))
-    if len(own) < 3:
-        none = np.zeros(0, np.uint64)
-        return none, none, none, none, none, at
-    two, three = K.ngrams(own, 2), K.ngrams(own, 3)
-    return own[place], two[place - 1], three[place - 2], two[place - 2], own[place - 1], at
+    return K.mix(own ^ np.repeat(codes, sizes + 2)) >> _SPARE, place, at
+
+
+def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    return ((h >> np.uint64(16)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+#: Trigrams u v w of a block whose middle word is of a shard: the words' hashes, the distinct v with how many follow each
+#: and their languages, u, w as places among the words, and the counts of trigrams or the documents they stand in.
+_MESSAGE = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("of", pa.int32()), *[(c, pa.binary()) for c in ("words", "mids", "runs", "langs", "u", "w", "more")]])
+_MESSAGE_SQL = "shard int, part int, block long, n int, of int, words binary, mids binary, runs binary, langs binary, u binary, w binary, more binary"
+
+
+def _messages(u: np.ndarray, v: np.ndarray, w: np.ndarray, codes: np.ndarray, docs: np.ndarray | None, shards: int) -> Iterator[tuple]:
+    """``shard, words, mids, runs, langs, u, w, more`` of each shard that has any. Without ``docs`` equal trigrams are one, counted."""
+    if not len(v):
+        return
+    words, code = np.unique(np.concatenate([u, v, w]), return_inverse=True)
+    u, v, w = code.reshape(3, -1)
+    n = len(words)
+    order = np.lexsort((w, u, v)) if n >= 1 << 21 else np.argsort((v * n + u) * n + w if docs is None else v * n + u, kind="stable")
+    u, v, w, codes = u[order], v[order], w[order], codes[order]
+    if docs is None:
+        new = np.flatnonzero((np.diff(v, prepend=-1) != 0) | (np.diff(u, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))
+        more = np.diff(np.append(new, len(v)))
+        u, v, w, codes = u[new], v[new], w[new], codes[new]
+    else:
+        more = docs[order]
+    shard = _shard_of(words, shards)[v]  # ascends, as hashes do
+    edge = np.searchsorted(shard, np.arange(shard[0], shard[-1] + 2))
+    for s, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True), int(shard[0])):
+        if a == b:
+            continue
+        held, local = np.unique(np.concatenate([u[a:b], v[a:b], w[a:b]]).astype(np.int32), return_inverse=True)
+        lu, lv, lw = local.reshape(3, -1).astype(np.uint32)
+        head = np.flatnonzero(np.diff(lv.astype(np.int64), prepend=-1))
+        runs = np.diff(np.append(head, b - a)).astype(np.uint32)
+        yield s, K.pack_sorted(words[held]), K.pack_sorted(lv[head]), K.pack(runs), K.pack(codes[a:b][head]), K.pack(lu), K.pack(lw), K.pack(more[a:b].astype(np.uint32))
 
 
-_GRAMS = [("tri", pa.int64()), ("hist", pa.int64()), ("bi", pa.int64()), ("mid", pa.int64()), ("uni", pa.int64()), ("lang", pa.string()), ("c", pa.int64())]
+def _unpacked(m: dict) -> tuple[np.ndarray, ...]:
+    """``words, v, runs, langs, u, w, more`` of a message; v one for each run."""
+    return (K.unpack_sorted(m["words"]), K.unpack_sorted(m["mids"], np.uint32), K.unpack(m["runs"], np.uint32), K.unpack(m["langs"], np.uint64), *[K.unpack(m[c], np.uint32) for c in ("u", "w", "more")])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw, offsets = K.text_bytes(batch.column("text"))
-        langs = batch.column("lang").to_pylist()
-        for i, j in K.slices(offsets, 8 << 20):
-            uni, bi, tri, hist, mid, at = _slice_ngrams(raw, offsets[i : j + 1], langs[i:j])
-            _, first, counts = np.unique(tri, return_index=True, return_counts=True)
-            doc = np.searchsorted(at, first, side="right") - 1
-            names = pa.array(langs[i:j], pa.string()).take(pa.array(doc))
-            cols = [pa.array(x[first].view(np.int64)) for x in (tri, hist, bi, mid, uni)]
-            yield pa.RecordBatch.from_arrays([*cols, names, pa.array(counts.astype(np.int64))], schema=pa.schema(_GRAMS))
-
-
-def training_counts(sample: DataFrame) -> DataFrame:
-    """Trigram counts of ``sample`` (lang, text), with the hashes of the parts of each trigram."""
-    rows = sample.mapInArrow(_count, "tri long, hist long, bi long, mid long, uni long, lang string, c long")
-    keys = ["tri", "hist", "bi", "mid", "uni", "lang"]
-    return rows.groupBy(*keys).agg(F.sum("c").alias("c"))
-
-
-def _discounts(counts: DataFrame, name: str) -> DataFrame:
-    """``lang, d1, d2, d3`` from the counts of counts."""
-    n = counts.groupBy("lang").agg(*[F.count_if(F.col(name) == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.coalesce(F.try_divide("n1", F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
-
-    def d(k: int):
-        raw = k - (k + 1) * y * F.coalesce(F.try_divide(f"n{k + 1}", f"n{k}"), F.lit(0.0))
-        return F.greatest(F.lit(0.1), F.least(raw, F.lit(k - 0.05))).alias(f"d{k}")
-
-    return n.select("lang", d(1), d(2), d(3))
-
-
-def _level(counts: DataFrame, name: str, context: str) -> DataFrame:
-    """``counts`` with the discounted share of each n-gram within its context, and what the context leaves to the order below."""
-    d = _discounts(counts, name)
-    counts = counts.join(F.broadcast(d), counts["lang"].eqNullSafe(d["lang"])).drop(d["lang"])  # one row for each language
-    off = F.when(F.col(name) == 1, F.col("d1")).when(F.col(name) == 2, F.col("d2")).otherwise(F.col("d3"))
-    counts = counts.withColumn("off", off).drop("d1", "d2", "d3")
-    contexts = counts.groupBy(F.col(context).alias("ctx")).agg(F.sum(name).alias("total"), F.sum("off").alias("left"))
-    shares = counts.join(contexts, counts[context] == contexts["ctx"]).withColumn("share", (F.col(name) - F.col("off")) / F.col("total"))
-    return shares.withColumn("gamma", F.col("left") / F.col("total")).drop("off", "ctx", "total", "left", name)
-
-
-def value_table(tri: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """``key, v`` of every n-gram that the sample of ``tri`` knows, v in units of 1 / ``UNIT``; and ``lang, log_unseen``.
-
-    An n-gram's value is what it adds as the predicted one plus what it leaves as a history. The last ones of a document
-    are no histories: under keys of their own stands what to take back.
-    """
-    bi = scratch.save(tri.groupBy("bi", "mid", "uni", "lang").agg(F.count("*").alias("c")))
-    uni = bi.groupBy("uni", "lang").agg(F.count("*").alias("c"))
-    d = _discounts(uni, "c")
-    uni = uni.join(F.broadcast(d), uni["lang"].eqNullSafe(d["lang"])).drop(d["lang"])
-    off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    uni = scratch.save(uni.withColumn("off", off))
-    langs = uni.groupBy("lang").agg(F.sum("c").alias("total"), F.sum("off").alias("left"), F.count("*").alias("n"))
-    langs = scratch.save(langs.select("lang", "total", (F.col("left") / F.col("total") / (F.col("n") + 1)).alias("unseen")))
-    of = F.broadcast(langs.withColumnRenamed("lang", "of"))  # one row for each language
-    one = uni.join(of, uni["lang"].eqNullSafe(F.col("of"))).select("uni", ((F.col("c") - F.col("off")) / F.col("total") + F.col("unseen")).alias("p1"), "unseen")
-    two = _level(bi, "c", "mid").join(one, "uni").select("bi", "mid", "gamma", (F.col("share") + F.col("gamma") * F.col("p1")).alias("p2"), "p1")
-    two = scratch.save(two)
-    three = _level(tri, "c", "hist").join(two.select("bi", "p2"), "bi").select("tri", "hist", "gamma", (F.col("share") + F.col("gamma") * F.col("p2")).alias("p3"), "p2")
-    three = scratch.save(three)
-
-    def left(shares: DataFrame, context: str) -> DataFrame:
-        held = shares.groupBy(F.col(context).alias("key")).agg(F.ln(F.first("gamma")).alias("x"))
-        return held.select(F.explode(F.array(F.struct("key", "x"), F.struct((F.col("key").bitwiseXOR(F.lit(_LAST))).alias("key"), (-F.col("x")).alias("x")))).alias("e")).select("e.key", "e.x")
-
-    parts = [
-        one.select(F.col("uni").alias("key"), F.ln(F.col("p1") / F.col("unseen")).alias("x")), left(two, "mid"), left(three, "hist"),
-        two.select(F.col("bi").alias("key"), F.ln(F.col("p2") / (F.col("gamma") * F.col("p1"))).alias("x")),
-        three.select(F.col("tri").alias("key"), F.ln(F.col("p3") / (F.col("gamma") * F.col("p2"))).alias("x")),
-    ]
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.unionByName(x)
-    units = every.select("key", F.round(F.col("x") * UNIT).cast("long").alias("v"))
-    return units.groupBy("key").agg(F.sum("v").alias("v")), langs.select("lang", F.ln("unseen").alias("log_unseen"))
+@contextmanager
+def _batches(spark: SparkSession, n: int, size: int) -> Iterator[None]:
+    """Arrow batches of about a block, for ``n`` texts of ``size`` bytes together: what waits beside a block counts twice, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(1, min(int(before) if int(before) > 0 else 10_000, BLOCK_BYTES * n // max(1, size)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _codes(langs: list) -> np.ndarray:
+    known = {x: _lang_code(x) for x in set(langs)}
+    return np.array([known[x] for x in langs], dtype=np.uint64)
+
+
+def _batch(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _MESSAGE, strict=True)], schema=_MESSAGE)
+
+
+def _count(shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = K.text_bytes(batch.column("text"))
+            langs = _codes(batch.column("lang").to_pylist())
+            for i, j in K.slices(offsets, BLOCK_BYTES):
+                own, place, at = _occurrences(raw, offsets[i : j + 1], langs[i:j])
+                of = np.repeat(langs[i:j], np.diff(at))
+                shard, ranges = _shard_of(own[place - 1], shards), min(PASSES, shards)
+                for k in range(ranges):  # what sorting needs is held for a part of the shards only
+                    keep = np.flatnonzero((shard >= shards * k // ranges) & (shard < shards * (k + 1) // ranges))
+                    at = place[keep]
+                    for s, *packed in _messages(own[at - 2], own[at - 1], own[at], of[keep], None, shards):
+                        yield _batch([(s, 0, 0, 0, 0, *packed)])
+
+    return run
+
+
+class _Counts:
+    """The trigrams of a shard: all whose middle word is of it, so that their histories u v, the bigrams v w with the
+    number of u before each, and what follows v are whole here."""
+
+    def __init__(self, messages: Iterator[dict]):
+        parts = [_unpacked(m) for m in messages]
+        self.words = np.unique(np.concatenate([np.zeros(0, np.uint64), *[p[0] for p in parts]]))
+        self.n = n = max(1, len(self.words))
+        cols: list[list] = [[np.zeros(0, t)] for t in (np.int64, np.int32, np.int32)]
+        self.lang = np.zeros(n, np.uint64)  # of each middle word
+        while parts:
+            words, mids, runs, langs, u, w, c = parts.pop()
+            at = np.searchsorted(self.words, words)
+            self.lang[at[mids]] = langs
+            for col, x in zip(cols, (np.repeat(at[mids] * n, runs) + at[u], at[w].astype(np.int32), c.astype(np.int32)), strict=True):
+                col.append(x)
+        pair, w, c = (np.concatenate(x) for x in cols)
+        del cols
+        order = np.lexsort((w, pair))
+        pair, w, c = pair[order], w[order], c[order].astype(np.int64)
+        del order
+        new = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(w, prepend=-1) != 0))
+        self.c3 = np.add.reduceat(c, new) if len(new) else np.zeros(0, np.int64)
+        pair, self.w3 = pair[new], w[new]
+        self.hist, self.of3 = np.unique(pair, return_inverse=True)
+        self.v3 = pair // n
+        self.bi, self.of2, self.c2 = np.unique(self.v3 * n + self.w3, return_inverse=True, return_counts=True)
+        self.v2, self.w2 = self.bi // n, self.bi % n
+
+
+def _survey(table: pa.Table) -> pa.Table:
+    """Of a shard: how many v come before each w (kind 0), and by language the counts of counts of its trigrams and bigrams (31 to 34, 21 to 24)."""
+    m = _Counts(table.to_pylist())
+    w, n = np.unique(m.w2, return_counts=True)
+    lang = np.zeros(m.n, np.uint64)
+    lang[m.w2] = m.lang[m.v2]
+    kind, lc, key, count = [np.zeros(len(w), np.int32)], [lang[w]], [m.words[w]], [n]
+    for level, v, c in ((30, m.v3, m.c3), (20, m.v2, m.c2)):
+        few = c <= 4
+        x, k = np.unique(np.stack([m.lang[v[few]], c[few].astype(np.uint64)]), axis=1, return_counts=True)
+        kind.append((level + x[1]).astype(np.int32)), lc.append(x[0]), key.append(np.zeros(len(k), np.uint64)), count.append(k)
+    kind, lc, key, count = (np.concatenate(x) for x in (kind, lc, key, count))
+    shard = pa.array([table.column("shard")[0].as_py()] * len(kind), pa.int32())
+    return pa.table({"shard": shard, "kind": kind, "lc": lc.view(np.int64), "w": key.view(np.int64), "n": count.astype(np.int64)})
+
+
+def _discounts(n: dict[int, int]) -> list[float]:
+    """The discounts of counts 1, 2 and more, from the counts of counts."""
+    n1, n2 = n.get(1, 0), n.get(2, 0)
+    y = n1 / (n1 + 2 * n2) if n1 + 2 * n2 else 0.5
+    return [max(0.1, min(k - (k + 1) * y * (n.get(k + 1, 0) / n[k] if n.get(k) else 0.0), k - 0.05)) for k in (1, 2, 3)]
+
+
+def _answer(column: str, n: int):
+    """What is known of the words of a shard in one message, which ``n`` tells from others."""
+
+    def run(table: pa.Table) -> pa.Table:
+        w = table.column("w").to_numpy().view(np.uint64)
+        order = np.argsort(w)
+        row = {"shard": table.column("shard")[0].as_py(), "part": 0, "block": 0, "n": n, "of": 0, "words": K.pack_sorted(w[order]), "mids": K.pack(table.column(column).to_numpy()[order])}
+        return pa.Table.from_pylist([row], schema=_MESSAGE)
+
+    return run
 
 
 class Filter:
-    """A Bloom filter in words of 64 bits, four bits of one word for each key."""
+    """A Bloom filter of words, in 64-bit cells with four bits of one cell for each word."""
 
-    def __init__(self, keys: DataFrame, n_keys: int):
-        self.bits = min(FILTER_WORDS_LOG2, max(6, (max(1, n_keys) * FILTER_BITS // 64).bit_length()))
+    def __init__(self, words: DataFrame, n: int, others: np.ndarray):
+        self.bits = min(FILTER_WORDS_LOG2, max(6, (max(1, n) * FILTER_BITS // 64).bit_length()))
         bit = F.lit(0).cast("long")
         for k in range(4):
-            bit = bit.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftright", F.col("key"), F.lit(6 * k)).bitwiseAND(F.lit(63)).cast("int")))
-        words = keys.select(F.call_function("shiftrightunsigned", F.col("key"), F.lit(64 - self.bits)).cast("int").alias("i"), bit.alias("w")).groupBy("i").agg(F.bit_or("w").alias("w")).toArrow()
-        self.words = np.zeros(1 << self.bits, dtype=np.uint64)
-        self.words[words.column("i").to_numpy()] = words.column("w").to_numpy().view(np.uint64)
+            bit = bit.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftright", F.col("w"), F.lit(6 * k)).bitwiseAND(F.lit(63)).cast("int")))
+        found = words.select(F.call_function("shiftright", F.col("w"), F.lit(48 - self.bits)).cast("int").alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
+        self.cells = np.zeros(1 << self.bits, dtype=np.uint64)
+        self.cells[found.column("i").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+        np.bitwise_or.at(self.cells, (others >> np.uint64(48 - self.bits)).astype(np.int64), self._need(others))
+
+    @staticmethod
+    def _need(x: np.ndarray) -> np.ndarray:
+        need = np.zeros(len(x), dtype=np.uint64)
+        for k in range(4):
+            need |= np.uint64(1) << ((x >> np.uint64(6 * k)) & np.uint64(63))
+        return need
 
     def passes(self, h: np.ndarray) -> np.ndarray:
-        """The places of the hashes that may be keys."""
-        out = []
+        """Whether each may be one of the words."""
+        out = np.zeros(len(h), dtype=bool)
         for i in range(0, len(h), 1 << 18):
             x = h[i : i + (1 << 18)]
-            need = np.zeros(len(x), dtype=np.uint64)
-            for k in range(4):
-                need |= np.uint64(1) << ((x >> np.uint64(6 * k)) & np.uint64(63))
-            out.append(np.flatnonzero((self.words[x >> np.uint64(64 - self.bits)] & need) == need) + i)
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+            need = self._need(x)
+            out[i : i + (1 << 18)] = (self.cells[x >> np.uint64(48 - self.bits)] & need) == need
+        return out
 
 
 class Model:
-    """The table of values, written, with its filter; a language without a model has no row in ``langs``."""
-
-    def __init__(self, entries: DataFrame, langs: DataFrame):
-        self.entries, self.langs, self.n = entries, langs, entries.count()
-        self.filter = Filter(entries, self.n)
+    """Trigram counts and probabilities of words in ``shards`` by middle word, written; a filter of the words; the discounts
+    by language; a language without a model has no row in ``langs``."""
+
+    def __init__(self, sample: DataFrame, shards: int, names: list, scratch: Scratch):
+        spark, self.shards = sample.sparkSession, shards
+        counts = scratch.save(sample.mapInArrow(_count(shards), _MESSAGE_SQL))
+        found = scratch.save(counts.groupBy("shard").applyInArrow(_survey, "shard int, kind int, lc long, w long, n long"))
+        words = scratch.save(found.where("kind = 0").groupBy("lc", "w").agg(F.sum("n").alias("c")))
+        # a few rows for each language, all of these
+        own = words.groupBy("lc").agg(F.sum("c").alias("total"), F.count("*").alias("n"), *[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).collect()
+        ranks: dict[tuple[int, int], dict[int, int]] = {}
+        for r in found.where("kind > 0").groupBy("lc", "kind").agg(F.sum("n").alias("n")).collect():
+            ranks.setdefault((r["lc"], r["kind"] // 10), {})[r["kind"] % 10] = r["n"]
+        self.discounts, rows = {}, []
+        code = {int(_lang_code(x).view(np.int64)): x for x in names}
+        for r in own:
+            d = _discounts({k: r[f"n{k}"] for k in (1, 2, 3, 4)})
+            left = sum(x * k for x, k in zip(d, (r["n1"], r["n2"], r["n"] - r["n1"] - r["n2"]), strict=True))
+            self.discounts[r["lc"]] = (_discounts(ranks.get((r["lc"], 2), {})), _discounts(ranks.get((r["lc"], 3), {})))
+            rows.append((r["lc"], code[r["lc"]], float(r["total"]), left / r["total"] / (r["n"] + 1), *d))
+        langs = spark.createDataFrame(rows, "lc long, lang string, total double, unseen double, d1 double, d2 double, d3 double")
+        off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        p1 = (F.col("c") - off) / F.col("total") + F.col("unseen")
+        values = words.join(F.broadcast(langs), "lc").select("w", p1.alias("p1"), F.round(F.ln(p1 / F.col("unseen")) * UNIT).cast("long").alias("v"))
+        shard = F.call_function("shiftright", F.call_function("shiftright", F.col("w"), F.lit(16)) * shards, F.lit(32)).cast("int")
+        saved = scratch.save(values.select(shard.alias("shard"), "w", "p1", "v"))
+        asked = found.where("kind = 0").select("shard", "w").join(saved.select("w", "p1"), "w")
+        told = asked.groupBy("shard").applyInArrow(_answer("p1", -1), _MESSAGE_SQL)
+        told = told.unionByName(saved.groupBy("shard").applyInArrow(_answer("v", -2), _MESSAGE_SQL))
+        self.parts = counts.unionByName(scratch.save(told))
+        begins = K.mix(_BEGIN ^ np.array([x & (1 << 64) - 1 for x in code], dtype=np.uint64)) >> _SPARE
+        self.filter = Filter(words, words.count(), begins)
+        scratch.drop(found, words, saved)
+        self.langs = langs.select("lang", F.ln("unseen").alias("log_unseen"))
 
 
 def share_of(sizes: list[int], bound: int) -> int:
@@ -242,132 +344,194 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, train_docs: int
     trusted = texts.select("t_id", F.struct("lang", F.octet_length("text").cast("long").alias("bytes")).alias("x")).join(good, "t_id")
     trusted = scratch.save(trusted.groupBy("t_id", "turn").agg(F.min("x").alias("x")).select("t_id", "turn", "x.lang", "x.bytes"))
     fit = scratch.save(_fit(trusted, train_docs, train_bytes))
+    # a bit for each id, so that few texts but those of the sample are shuffled
+    cells = max(1, (fit.count() // 8).bit_length())
+    cell = F.call_function("shiftrightunsigned", turn, F.lit(64 - cells))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftright", turn, F.lit(1)).bitwiseAND(F.lit(63)).cast("int"))
+    bits = fit.groupBy(cell.alias("cell")).agg(F.bit_or(bit).alias("bits"))
+    texts = texts.withColumn("cell", cell).join(F.broadcast(bits), "cell").where(F.col("bits").bitwiseAND(bit) != 0).drop("cell", "bits")
     texts = texts.join(fit, "t_id").where(F.col("lang").eqNullSafe(F.col("fit_lang")) & (F.octet_length("text") == F.col("bytes")))
     sample = texts.dropDuplicates(["t_id"]).select("lang", "text")
-    tri = scratch.save(training_counts(sample))
-    entries, langs = value_table(tri, scratch)
-    entries, langs = scratch.save(entries), scratch.save(langs)
-    had = {r["lang"] for r in langs.select("lang").collect()}  # one row for each language of the sample
+    names = [r["lang"] for r in fit.select(F.col("fit_lang").alias("lang")).distinct().collect()]  # one row for each language
+    n, size = fit.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    with _batches(docs.sparkSession, n, size):
+        model = Model(sample, max(1, -(-size // (WORD_BYTES * SHARD_KEYS))), names, scratch)
+    had = {r["lang"] for r in model.langs.select("lang").collect()}
     bare = {r["lang"] for r in trusted.select("lang").distinct().collect()} - had
     if bare:
         warnings.warn(f"no model, so everything is kept, in languages with trusted documents: {sorted(map(str, bare))}", stacklevel=2)
-    return Model(entries, langs), good.where(F.pmod("turn", F.lit(2)) == 1).select("t_id")
+    return model, good.where(F.pmod("turn", F.lit(2)) == 1).select("t_id")
 
 
-def _block_entries(raw: np.ndarray, offsets: np.ndarray, langs: list, known: Filter) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each document of a block; and of what may have a value: distinct keys, (key, document) codes and counts."""
-    uni, bi, tri, hist, mid, at = _slice_ngrams(raw, offsets, langs)
-    sizes = np.diff(at)
-    has = np.flatnonzero(sizes)
-    first, last = at[:-1][has], at[1:][has] - 1
-    ends = np.int64(_LAST).view(np.uint64)
-    keys, docs = [], []
-    owner = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-    for h, of in ((uni, owner), (bi, owner), (tri, owner), (mid[first], has), (hist[first], has), (uni[last] ^ ends, has), (bi[last] ^ ends, has)):
-        place = known.passes(h)
-        keys.append(h[place]), docs.append(of[place].astype(np.int64))
-    del uni, bi, tri, hist, mid, owner
-    distinct, code = np.unique(np.concatenate(keys), return_inverse=True)
-    code *= len(sizes)
-    code += np.concatenate(docs)
-    code, counts = np.unique(code, return_counts=True)
-    return sizes, distinct, code, counts
-
-
-_MESSAGE = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("keys", pa.binary()), ("runs", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
-_MESSAGE_SQL = "shard int, part int, block long, n int, keys binary, runs binary, docs binary, counts binary"
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple]:
+    """``block, batch, raw, offsets`` of blocks of documents, named by their content, place and task."""
+    task, made = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        raw, offsets = K.text_bytes(batch.column("text"))
+        total = int(offsets[-1] - offsets[0])
+        for i, j in K.slices(offsets, max(1, -(-total // max(1, -(-total // block_bytes))))):
+            name = hashlib.blake2b(raw[int(offsets[i]) : int(offsets[j])], digest_size=8, key=f"{task},{made}".encode())
+            name.update(np.diff(offsets[i : j + 1]).tobytes())
+            name.update(repr(batch.column("doc").slice(i, j - i).to_pylist()).encode())
+            made += 1
+            yield int.from_bytes(name.digest(), "little", signed=True), batch.slice(i, j - i), raw, offsets[i : j + 1]
 
 
-def _explode(known, shards: int, parts: int):
-    """Of each block one message for each shard, and one that names its documents, on which all others of it depend."""
+def _explode(known, shards: int, first: int, end: int, parts: int, block_bytes: int):
+    """Of each block one message for each shard from ``first`` to ``end`` that has any of its trigrams, a last word's with
+    the end too; and in the first pass one that names its documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            raw, offsets = K.text_bytes(batch.column("text"))
-            langs, ids = batch.column("lang").to_pylist(), batch.column("doc")
-            total = int(offsets[-1] - offsets[0])
-            for i, j in K.slices(offsets, max(1, -(-total // max(1, -(-total // BLOCK_BYTES))))):
-                sizes, keys, code, counts = _block_entries(raw, offsets[i : j + 1], langs[i:j], known.value)
-                key, doc = code // (j - i), (code % (j - i)).astype(np.int64)
-                block, out = (task << 32) + made, []
-                made += 1
-                part = block * 0x9E3779B1 % (1 << 32) % parts
-                edge = np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
-                cut = np.searchsorted(key, edge)
-                for s in range(shards):
-                    if edge[s] < edge[s + 1]:
-                        a, b = cut[s], cut[s + 1]
-                        step = np.diff(doc[a:b], prepend=0)
-                        new = np.flatnonzero(np.diff(key[a:b], prepend=-1))
-                        step[new] = doc[a:b][new]  # within a key documents ascend
-                        runs = np.diff(np.append(new, b - a)).astype(np.uint32)
-                        out.append((s, part, block, j - i, K.pack_sorted(keys[edge[s] : edge[s + 1]]), K.pack(runs), K.pack(step.astype(np.uint32)), K.pack(counts[a:b].astype(np.uint32))))
-                head = pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(langs[i:j], pa.string()), pa.array(sizes, pa.int64())], names=["doc", "lang", "n_words"])
+        for block, batch, raw, offsets in _blocks(batches, block_bytes):
+            langs = batch.column("lang").to_pylist()
+            codes, part = _codes(langs), block * 0x9E3779B1 % (1 << 32) % parts
+            own, place, at = _occurrences(raw, offsets, codes)
+            sizes = np.diff(at)
+            if first == 0:
+                head = pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(langs, pa.string()), pa.array(sizes, pa.int64())], names=["doc", "lang", "n_words"])
                 with pa.BufferOutputStream() as sink:
                     with pa.ipc.new_stream(sink, head.schema) as w:
                         w.write_batch(head)
                     named = sink.getvalue().to_pybytes()
-                out.append((made % shards, part, block, -len(out), named, b"", b"", b""))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _MESSAGE, strict=True)], schema=_MESSAGE)
+                yield _batch([(block % end, part, block, -1, -1, named, *[None] * 6)])
+            own[~known.value.passes(own)] = _UNKNOWN
+            own = np.append(own, _END)
+            has = np.flatnonzero(sizes)
+            place = np.concatenate([place, place[at[1:][has] - 1] + 1])
+            doc = np.concatenate([np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes), has.astype(np.uint32)])
+            v = own[place - 1]
+            shard = _shard_of(v, shards)
+            keep = np.flatnonzero((shard >= first) & (shard < end) & (v != _UNKNOWN))
+            del shard, v
+            w = np.where(keep < at[-1], own[place[keep]], _END)
+            place, doc = place[keep], doc[keep]
+            out = [(s, part, block, batch.num_rows, *packed) for s, *packed in _messages(own[place - 2], own[place - 1], w, codes[doc], doc, shards)]
+            for x in out:
+                yield _batch([(*x[:4], len(out), *x[4:])])
 
     return run
 
 
-def _look_up(messages: pa.Table, values: pa.Table) -> pa.Table:
-    """One shard of the table and some of the blocks: the sums of each message, by document. What names documents goes through."""
-    key = values.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(key)
-    key, value = key[order], values.column("v").to_numpy()[order]
-    block, n, out = messages.column("block").to_pylist(), messages.column("n").to_pylist(), []
-    packed = [messages.column(c) for c in ("keys", "runs", "docs", "counts")]
-    for k in range(len(block)):
-        keys = packed[0][k].as_py()
-        if n[k] <= 0:
-            out.append(keys)
-            continue
-        keys, runs, step, counts = K.unpack_sorted(keys), K.unpack(packed[1][k].as_py(), np.uint32), K.unpack(packed[2][k].as_py(), np.uint32), K.unpack(packed[3][k].as_py(), np.uint32)
-        at = np.searchsorted(key, keys)
-        at[at == len(key)] = 0
-        found = np.where(key[at] == keys, value[at], 0) if len(key) else np.zeros(len(keys), np.int64)
-        doc = np.cumsum(step.astype(np.int64))
-        head = np.concatenate([[0], np.cumsum(runs)[:-1]]).astype(np.int64)
-        before = doc[head] - step[head]  # each run of a key begins anew
-        doc -= np.repeat(before, runs)
-        sums = np.zeros(n[k], dtype=np.int64)
-        np.add.at(sums, doc, np.repeat(found, runs) * counts)
-        out.append(K.pack(sums))
-    return pa.table({"block": messages.column("block"), "n": messages.column("n"), "data": pa.array(out, pa.binary())})
+def _level(c: np.ndarray, of: np.ndarray, n: int, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The discounted share of each count within its context, and what each of the ``n`` contexts leaves to the order below."""
+    total = np.bincount(of, c, n)
+    rank = np.minimum(c, 3) - 1
+    left = sum(np.bincount(of[rank == k], minlength=n) * d[:, k] for k in range(3))
+    return (c - d[of, rank]) / total[of], left / np.maximum(total, 1)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return np.round(np.log(x) * UNIT).astype(np.int64)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The places of ``wanted`` among ascending keys, -1 where they are not."""
+    at = np.searchsorted(keys, wanted)
+    at[at == len(keys)] = 0
+    at[keys[at] != wanted] = -1
+    return at
+
+
+def _score_shard(discounts: dict):
+    """One shard of the model and messages of blocks: the sums of each message, by document."""
+
+    def run(messages: pa.Table, model: pa.Table) -> pa.Table:
+        rows = model.to_pylist()
+        m = _Counts([r for r in rows if r["n"] == 0])
+        told = {r["n"]: (K.unpack_sorted(r["words"]), r["mids"]) for r in rows if r["n"] < 0}
+        names, value = (told[-2][0], K.unpack(told[-2][1], np.int64)) if -2 in told else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        out: list[tuple] = []
+        if len(m.c3):
+            p1 = K.unpack(told[-1][1], np.float64)[np.searchsorted(told[-1][0], m.words[m.w2])]
+        del rows, told
+        if len(m.c3):
+            mids, of2 = np.unique(m.v2, return_inverse=True)
+            d2, d3 = (np.array([discounts[x][k] for x in m.lang[mids].view(np.int64).tolist()]) for k in (0, 1))
+            share, g2 = _level(m.c2, of2, len(mids), d2)
+            p2 = share + g2[of2] * p1
+            add2 = _units(p2 / (g2[of2] * p1))
+            share, g3 = _level(m.c3, m.of3, len(m.hist), d3[np.searchsorted(mids, m.hist // m.n)])
+            add3 = _units((share + g3[m.of3] * p2[m.of2]) / (g3[m.of3] * p2[m.of2]))
+            g2, g3, tri = _units(g2), _units(g3), m.of3 * m.n + m.w3
+            del share, p2, p1, of2
+        for b in messages.to_batches(max_chunksize=1):
+            r = b.to_pylist()[0]
+            if r["n"] < 0:  # names documents, and goes through
+                out.append((r["block"], -1, r["words"]))
+                continue
+            sums = np.zeros(r["n"], dtype=np.int64)
+            words, v, runs, _, u, w, doc = _unpacked(r)
+            if len(names):
+                at = _find(names, words[v])
+                np.add.at(sums, doc, np.repeat(np.where(at >= 0, value[at], 0), runs))
+            if len(m.c3):
+                at = _find(m.words, words)
+                v = at[v]
+                ctx = np.where(v >= 0, _find(mids, v), -1)
+                has = np.repeat(ctx >= 0, runs) & (words[w] != _END)
+                ctx, v, u, w, doc = np.repeat(ctx, runs)[has], np.repeat(v, runs)[has], at[u[has]], at[w[has]], doc[has]
+                x = g2[ctx]
+                bi = np.where(w >= 0, _find(m.bi, v * m.n + w), -1)
+                k = np.flatnonzero(bi >= 0)
+                x[k] += add2[bi[k]]
+                hist = np.where(u >= 0, _find(m.hist, v * m.n + u), -1)
+                k = np.flatnonzero(hist >= 0)
+                x[k] += g3[hist[k]]
+                k = k[bi[k] >= 0]
+                t = _find(tri, hist[k] * m.n + w[k])
+                k, t = k[t >= 0], t[t >= 0]
+                x[k] += add3[t]
+                np.add.at(sums, doc, x)
+            out.append((r["block"], r["of"], K.pack(sums)))
+        return _sums(out)
+
+    return run
+
+
+_SUMS_SQL = "block long, of int, data binary"
+
+
+def _sums(out: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["block", "of", "data"])
 
 
 def _sum_block(table: pa.Table) -> pa.Table:
-    """The documents of a block with their sums over all shards."""
-    n, data = table.column("n").to_pylist(), table.column("data")
-    heads = [k for k, x in enumerate(n) if x <= 0]
-    if len(heads) != 1 or len(n) - 1 != -n[heads[0]]:
+    """The documents of a block with their sums over all shards and passes (``level``); ``of`` says how many messages a pass
+    made of it, so that a block that another run of its task made otherwise is not taken for this one."""
+    of, level, data = table.column("of").to_pylist(), table.column("level").to_pylist(), table.column("data")
+    heads = [k for k, x in enumerate(of) if x < 0]
+    if len(heads) != 1 or any(n != sum(y == x for y, z in zip(level, of, strict=True) if z >= 0) for x, n in zip(level, of, strict=True) if n >= 0):
         raise ValueError("a block was not made as a whole; its task ran again with other rows")
     with pa.ipc.open_stream(data[heads[0]].as_py()) as r:
         out = r.read_all()
     sums = np.zeros(len(out), dtype=np.int64)
-    for k, x in enumerate(n):
-        if x > 0:
+    for k, x in enumerate(of):
+        if x >= 0:
             sums += K.unpack(data[k].as_py(), np.int64)
     return out.append_column("units", pa.array(sums, pa.int64()))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, scratch: Scratch | None = None) -> DataFrame:
     """``doc_id, lang, n_words, log_ppl`` for each row; log_ppl is null without words or model."""
-    spark = docs.sparkSession
+    scratch = scratch or Scratch(docs.sparkSession, "quality", release=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    total = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    shards = -(-max(1, model.n) // SHARD_KEYS)
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = model.shards
     parts = -(-max(1, total) // (PART_BYTES * shards))  # one, where the model grows with the documents
-    held = spark.sparkContext.broadcast(model.filter)
-    messages = rows.mapInArrow(_explode(held, shards, parts), _MESSAGE_SQL)
-    # each part of the blocks meets its own copy of a shard, so that neither side of a group grows with the input
-    shard = F.call_function("shiftrightunsigned", F.call_function("shiftrightunsigned", F.col("key"), F.lit(32)) * shards, F.lit(32)).cast("int")
-    values = model.entries.select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "key", "v")
-    sums = messages.groupBy("shard", "part").cogroup(values.groupBy("shard", "part")).applyInArrow(_look_up, "block long, n int, data binary")
+
+    def copies(df: DataFrame) -> DataFrame:
+        """A shard for each part of the blocks, so that no group grows beyond it."""
+        return df.drop("part").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).groupBy("shard", "part")
+
+    held, passes, sums = docs.sparkSession.sparkContext.broadcast(model.filter), min(PASSES, shards), None
+    for k in range(passes):  # one after the other, so that their messages are not on disk together
+        first, end = shards * k // passes, shards * (k + 1) // passes
+        asked = rows.mapInArrow(_explode(held, shards, first, end, parts, BLOCK_BYTES), _MESSAGE_SQL)
+        own = copies(model.parts.where((F.col("shard") >= first) & (F.col("shard") < end)))
+        told = asked.groupBy("shard", "part").cogroup(own).applyInArrow(_score_shard(model.discounts), _SUMS_SQL)
+        with _batches(docs.sparkSession, n, total):
+            told = scratch.save(told.withColumn("level", F.lit(k)))
+        sums = told if sums is None else sums.unionByName(told)
     found = sums.groupBy("block").applyInArrow(_sum_block, "doc long, lang string, n_words long, units long")
     langs = F.broadcast(model.langs.withColumnRenamed("lang", "of"))  # one row for each language
     found = found.join(langs, F.col("lang").eqNullSafe(F.col("of")), "left")
@@ -400,9 +564,9 @@ def thresholds(scored: DataFrame, calibration: DataFrame, quantile: float = QUAN
 
 def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, train_docs: int | None = None, train_bytes: int | None = None) -> DataFrame:
     """``doc_id, lang, n_words, perplexity, threshold, kept`` for each row."""
-    scratch = Scratch(docs.sparkSession, "quality")
+    scratch = Scratch(docs.sparkSession, "quality", release=True)
     model, calibration = train(docs, labels, scratch, train_docs, train_bytes)
-    scored = scratch.save(score(docs, model))
+    scored = scratch.save(score(docs, model, scratch))
     return _judged(scored, scratch.save(thresholds(scored, calibration, quantile)))
 
 
