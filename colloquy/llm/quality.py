@@ -37,6 +37,7 @@ tables give empty results.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import warnings
 from collections.abc import Iterator
@@ -83,11 +84,12 @@ def _occurrences(raw: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tup
         h, at = K.words(raw, offsets[i : j + 1])
         hs.append(h), ats.append(at[1:] + ats[-1][-1])
     h, at = np.concatenate(hs), np.concatenate(ats)
-    del hs
+    hs.clear()
     sizes = np.diff(at)
     own = np.full(len(h) + 2 * len(sizes), _BEGIN, dtype=np.uint64)
     place = np.arange(len(h)) + np.repeat(np.arange(len(sizes)) * 2, sizes) + 2
     own[place] = h
+    del h
     return K.mix(own ^ np.repeat(codes, sizes + 2)) >> _SPARE, place, at
 
 
@@ -133,16 +135,27 @@ def _unpacked(m: dict) -> tuple[np.ndarray, ...]:
     return (K.unpack_sorted(m["words"]), K.unpack_sorted(m["mids"], np.uint32), K.unpack(m["runs"], np.uint32), K.unpack(m["langs"], np.uint64), *[K.unpack(m[c], np.uint32) for c in ("u", "w", "more")])
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system, for the workers that wait while others run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 @contextmanager
 def _batches(spark: SparkSession, n: int, size: int) -> Iterator[None]:
     """Arrow batches of about a block, for ``n`` texts of ``size`` bytes together: what waits beside a block counts twice, in the JVM and in Python."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(max(1, min(int(before) if int(before) > 0 else 10_000, BLOCK_BYTES * n // max(1, size)))))
+    keys = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(x) for x in keys]
+    most = int(before[0])
     try:
+        spark.conf.set(keys[0], str(max(1, min(most if most > 0 else 10_000, BLOCK_BYTES * n // max(1, size)))))
+        spark.conf.set(keys[1], str(2 * BLOCK_BYTES))
         yield
     finally:
-        spark.conf.set(key, before)
+        for x, y in zip(keys, before, strict=True):
+            spark.conf.set(x, y)
 
 
 def _codes(langs: list) -> np.ndarray:
@@ -168,6 +181,8 @@ def _count(shards: int):
                     at = place[keep]
                     for s, *packed in _messages(own[at - 2], own[at - 1], own[at], of[keep], None, shards):
                         yield _batch([(s, 0, 0, 0, 0, *packed)])
+                del own, place, at, of, shard, keep
+            _trim()
 
     return run
 
@@ -215,6 +230,8 @@ def _survey(table: pa.Table) -> pa.Table:
         kind.append((level + x[1]).astype(np.int32)), lc.append(x[0]), key.append(np.zeros(len(k), np.uint64)), count.append(k)
     kind, lc, key, count = (np.concatenate(x) for x in (kind, lc, key, count))
     shard = pa.array([table.column("shard")[0].as_py()] * len(kind), pa.int32())
+    del m
+    _trim()
     return pa.table({"shard": shard, "kind": kind, "lc": lc.view(np.int64), "w": key.view(np.int64), "n": count.astype(np.int64)})
 
 
@@ -406,8 +423,11 @@ def _explode(known, shards: int, first: int, end: int, parts: int, block_bytes:
             w = np.where(keep < at[-1], own[place[keep]], _END)
             place, doc = place[keep], doc[keep]
             out = [(s, part, block, batch.num_rows, *packed) for s, *packed in _messages(own[place - 2], own[place - 1], w, codes[doc], doc, shards)]
+            del own, place, doc, keep, w
             for x in out:
                 yield _batch([(*x[:4], len(out), *x[4:])])
+            del out
+            _trim()
 
     return run
 
@@ -483,6 +503,8 @@ def _score_shard(discounts: dict):
                 x[k] += add3[t]
                 np.add.at(sums, doc, x)
             out.append((r["block"], r["of"], K.pack(sums)))
+        del m, messages, model
+        _trim()
         return _sums(out)
 
     return run
