@@ -304,6 +304,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
                 for i, j in K.slices(offsets):
                     for d, hits in enumerate(matcher.slice(*K.words(raw, offsets[i : j + 1], lower=True))):
                         keep[i + d] = not any(ok for *_, ok in hits)
+                K.trim()
                 yield batch.filter(pa.array(keep))
 
         out = out.mapInArrow(run, docs.schema)

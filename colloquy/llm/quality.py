@@ -37,7 +37,6 @@ tables give empty results.
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 import warnings
 from collections.abc import Iterator
@@ -135,14 +134,6 @@ def _unpacked(m: dict) -> tuple[np.ndarray, ...]:
     return (K.unpack_sorted(m["words"]), K.unpack_sorted(m["mids"], np.uint32), K.unpack(m["runs"], np.uint32), K.unpack(m["langs"], np.uint64), *[K.unpack(m[c], np.uint32) for c in ("u", "w", "more")])
 
 
-def _trim() -> None:
-    """Gives freed memory back to the system, for the workers that wait while others run."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 @contextmanager
 def _batches(spark: SparkSession, n: int, size: int) -> Iterator[None]:
     """Arrow batches of about a block, for ``n`` texts of ``size`` bytes together: what waits beside a block counts twice, in the JVM and in Python."""
@@ -182,7 +173,7 @@ def _count(shards: int):
                     for s, *packed in _messages(own[at - 2], own[at - 1], own[at], of[keep], None, shards):
                         yield _batch([(s, 0, 0, 0, 0, *packed)])
                 del own, place, at, of, shard, keep
-            _trim()
+            K.trim()
 
     return run
 
@@ -231,7 +222,7 @@ def _survey(table: pa.Table) -> pa.Table:
     kind, lc, key, count = (np.concatenate(x) for x in (kind, lc, key, count))
     shard = pa.array([table.column("shard")[0].as_py()] * len(kind), pa.int32())
     del m
-    _trim()
+    K.trim()
     return pa.table({"shard": shard, "kind": kind, "lc": lc.view(np.int64), "w": key.view(np.int64), "n": count.astype(np.int64)})
 
 
@@ -427,7 +418,7 @@ def _explode(known, shards: int, first: int, end: int, parts: int, block_bytes:
             for x in out:
                 yield _batch([(*x[:4], len(out), *x[4:])])
             del out
-            _trim()
+            K.trim()
 
     return run
 
@@ -504,7 +495,7 @@ def _score_shard(discounts: dict):
                 np.add.at(sums, doc, x)
             out.append((r["block"], r["of"], K.pack(sums)))
         del m, messages, model
-        _trim()
+        K.trim()
         return _sums(out)
 
     return run

@@ -8,9 +8,11 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -580,3 +582,20 @@ def test_pipeline_keeps_clean_documents_and_repeats_what_the_mix_takes_twice(spa
     counts = collections.Counter(r.doc_id for r in final.collect())
     plan = {r.doc_id: r.copies for r in mixing.plan(docs.where(F.col("doc_id").isin(list(kept[2])))).collect() if r.copies}
     assert counts == plan
+
+
+def test_signing_holds_a_slice_and_not_its_batch(spark):
+    texts = [" ".join(f"w{(i * 7919 + j * j) % 5003}" for j in range(400)) for i in range(2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array(texts)], names=["doc_id", "mark", "text"])
+    tracemalloc.start()
+    try:
+        assert sum(x.num_rows for x in near_dedup._sign(iter([batch]))) == len(texts)
+        assert tracemalloc.get_traced_memory()[1] < 32e6  # six megabytes of text
+    finally:
+        tracemalloc.stop()
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with scratch.batch_bytes(spark, 1 << 20):
+        rows = spark.createDataFrame([(x,) for x in texts], "text string").coalesce(1)
+        got = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([x.nbytes])], names=["n"]) for x in batches), "n long").collect()
+    assert len(got) > 4 and max(r.n for r in got) < 2 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
