@@ -142,7 +142,7 @@ def _batches(spark: SparkSession, n: int, size: int) -> Iterator[None]:
     most = int(before[0])
     try:
         spark.conf.set(keys[0], str(max(1, min(most if most > 0 else 10_000, BLOCK_BYTES * n // max(1, size)))))
-        spark.conf.set(keys[1], str(2 * BLOCK_BYTES))
+        spark.conf.set(keys[1], str(BLOCK_BYTES))
         yield
     finally:
         for x, y in zip(keys, before, strict=True):
